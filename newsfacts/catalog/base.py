@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsfacts.catalog.prelude import PRELUDE
-from newsfacts.plans.marts import Marts, refresh_marts
+from newsfacts.plans.marts import Marts, refresh_marts, write_content
+from newsfacts.session import new_path
 from newsfacts.sources.star import NewsTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,10 @@ class Context(NewsTables):
     def marts(self) -> Marts:
         return refresh_marts(self)
 
+    @cached_property
+    def stored_contents(self) -> DataFrame:
+        return write_content(self.contents, new_path(self.spark, "contents"))
+
 
 _CONTEXTS: dict[tuple[str, str], Context] = {}
 

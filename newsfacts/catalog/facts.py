@@ -201,26 +201,22 @@ def _(c):
     return _narrow(facts.filter(F.col("location_ids_num") == last))
 
 
-@query("filter_location_set_number", _FILTERED.format("fx_api", "location_ids_num = 1"))
-def _(c):
-    return _narrow(FactFilter(location_ids_num=1).apply(c.marts.fact_api))
-
-
 @query("filter_fulltext", """
 SELECT content_id, count(*) AS n FROM fx_api JOIN fx_terms t ON content_id = t.id
 WHERE list_contains(content_terms, 'ing') AND NOT list_contains(content_terms, 'ere') GROUP BY content_id""")
 def _(c):
-    hits = FactFilter(ts="ing & !ere").apply(c.marts.fact_api, c.content_terms)
+    hits = FactFilter(ts="ing & !ere").apply(c.marts.fact_api, c.stored_contents)
     return hits.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("filter_fulltext_phrase", """
 SELECT content_id, count(*) AS n FROM fx_api JOIN fx_terms t ON content_id = t.id
-WHERE ' ' || array_to_string(content_terms, ' ') || ' ' LIKE '% ere ing %'
+WHERE token_text LIKE '% ing the %' AND token_text LIKE '% ing %'
    OR list_contains(content_terms, 'vielleicht') OR list_contains(content_terms, 'ando')
 GROUP BY content_id""")
 def _(c):
-    hits = FactFilter(ts="ere <-> ing | vielleicht | ando").apply(c.marts.fact_api, c.content_terms)
+    flt = FactFilter(ts="ing <-> the & ing | vielleicht | ando")
+    hits = flt.apply(c.marts.fact_api, c.stored_contents)
     return hits.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -395,14 +391,14 @@ GROUP BY word ORDER BY nentry DESC, ndoc DESC, word{limit}"""
 
 @query("wordcloud", _CLOUD.format(ids=_SAMPLE.format(where=YEAR_SQL, n=1000), limit=" LIMIT 100"))
 def _(c):
-    return facets.wordcloud(YEAR.apply(c.marts.fact_api), c.content_terms)
+    return facets.wordcloud(YEAR.apply(c.marts.fact_api), c.stored_contents)
 
 
 @query("wordcloud_top", "SELECT * FROM (" + _CLOUD.format(
     ids="(SELECT id FROM fx_terms)", limit=" LIMIT 100") + ")")
 def _(c):
     """Top words over every stored content."""
-    words = c.content_terms.select("id", F.explode("content_terms").alias("word"))
+    words = c.stored_contents.select("id", F.explode("content_terms").alias("word"))
     per_doc = words.groupBy("word", "id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("word").agg(
         F.sum("n").alias("nentry"), F.count(F.lit(1)).alias("ndoc")
@@ -419,7 +415,7 @@ SELECT id, length(content_clean) AS n_chars FROM fx_contents
 WHERE id IN {_SAMPLE.format(where="true", n=200)}""")
 def _(c):
     ids = facets.random_sample(FactFilter().apply(c.marts.fact_api), "content_id", 200)
-    return c.contents.join(ids, c.contents["id"] == ids["content_id"], "left_semi").select(
+    return c.stored_contents.join(ids, c.stored_contents["id"] == ids["content_id"], "left_semi").select(
         "id", F.length("content_clean").cast("long").alias("n_chars")
     )
 
@@ -459,8 +455,8 @@ ORDER BY p.fact LIMIT {{limit}} OFFSET {{offset}}"""
 
 def _url_list(c, flt, limit, offset):
     listed = listing.url_list(
-        flt.apply(c.marts.fact_api, c.content_terms), c.marts.fact_api_locations,
-        c.analyses.select("gkg_id"), c.contents, c.validation, c.validation_values, limit, offset,
+        flt.apply(c.marts.fact_api, c.stored_contents), c.marts.fact_api_locations,
+        c.analyses.select("gkg_id"), c.stored_contents, c.validation, c.validation_values, limit, offset,
     )
     return listed.select(
         "document_identifier", "fact", "gdelt_day", "iso3", "source_common_name",
@@ -498,7 +494,7 @@ def _(c):
         .join(c.analyses.select("gkg_id", "status"), "gkg_id")
         .join(c.facts.select(F.col("id").alias("fact")), "fact")
         .join(
-            c.contents.select(F.col("id").alias("content_id"),
+            c.stored_contents.select(F.col("id").alias("content_id"),
                               F.length("content_clean").cast("long").alias("n_chars")),
             "content_id",
         )
@@ -548,7 +544,7 @@ SELECT g.id AS gkg_id, g.date AS gkg_date, g.source_common_name, g.document_iden
 FROM fx_gkg g JOIN fx_analyses a ON g.id = a.gkg_id LEFT JOIN fx_contents ct ON a.content_id = ct.id""")
 def _(c):
     found = listing.get_document(
-        c.gkg, c.analyses.select("gkg_id", "category", "content_id", "updated"), c.contents
+        c.gkg, c.analyses.select("gkg_id", "category", "content_id", "updated"), c.stored_contents
     )
     return found.select(
         "gkg_id", "gkg_date", "source_common_name", "document_identifier",
@@ -608,7 +604,7 @@ FROM (SELECT gkg_id, content_id, updated, CASE status WHEN 'scraping failed' THE
   ORDER BY updated DESC, gkg_id LIMIT 10) a
 LEFT JOIN fx_gkg g ON a.gkg_id = g.id LEFT JOIN fx_contents ct ON ct.id = a.content_id""")
 def _(c):
-    return listing.recent_articles(c.analyses, c.gkg, c.contents)
+    return listing.recent_articles(c.analyses, c.gkg, c.stored_contents)
 
 
 @query("minute_text", "SELECT gkg_id, strftime(updated, '%Y-%m-%d %H:%M') AS updated FROM fx_analyses")

@@ -1,6 +1,6 @@
 """Common table expressions shared by the checking SQL (DuckDB dialect)."""
 
-from newsfacts.functions.text import PRINTABLE, SPACE, STOP_WORDS
+from newsfacts.functions.text import SPACE, STOP_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _FACT = "((l_orderkey*1000000 + l_partkey)*10000 + l_suppkey)*10 + l_linenumber"
@@ -18,7 +18,7 @@ def clean_sql(col: str) -> str:
     ]
     for pattern, new in steps:
         col = f"regexp_replace({col}, '{pattern}', '{new}', 'g')"
-    return f"regexp_replace(replace({col}, 'peole', 'people'), '[^{PRINTABLE}]', '', 'g')"
+    return f"regexp_replace(replace({col}, 'peole', 'people'), '[^\\x20-\\x7E\\t\\n\\r\\x0b\\x0c]', '', 'g')"
 
 
 def cloud_sql(col: str) -> str:
@@ -122,7 +122,8 @@ WITH fx_gkg AS (
 ), fx_contents AS (
   SELECT doc_id AS id, text AS content, {clean_sql('text')} AS content_clean FROM documents
 ), fx_terms AS (
-  SELECT id, content_clean, {terms_sql(cloud_sql('content_clean'))} AS content_terms FROM fx_contents
+  SELECT id, content_clean, {terms_sql(cloud_sql('content_clean'))} AS content_terms,
+    ' ' || array_to_string({tokens_sql(cloud_sql('content_clean'))}, ' ') || ' ' AS token_text FROM fx_contents
 ), fx_validation AS (
   SELECT id AS fact_id,
     CASE id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'rejected' WHEN 2 THEN 'in review'

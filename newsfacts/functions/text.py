@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 # The characters Python's \s matches, as a Java regex class body.
 SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
-# The characters of string.printable, as a Java regex class body.
-PRINTABLE = r"\x20-\x7E\t\n\r\x0b\x0c"
-
 # PostgreSQL's english stop word list.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself "
@@ -28,19 +25,31 @@ STOP_WORDS = (
 
 
 def collapse_whitespace(col: Column) -> Column:
-    return F.regexp_replace(col, f"[{SPACE}]+", " ")
+    """Every run of whitespace becomes one space.
+
+    In two steps, because text is mostly single plain spaces: the first touches only the other
+    kinds, the second only repeated spaces.
+    """
+    return F.regexp_replace(F.regexp_replace(col, f"[{SPACE}&&[^ ]]", " "), " {2,}", " ")
 
 
 def cleanup_text(col: Column) -> Column:
     """Repair common scraping errors, then keep printable ASCII. The order of the steps matters."""
     headings = "(IMPACT|RESPONSE)"
-    col = F.regexp_replace(col, f"([a-zA-Z0-9]){headings}", "$1. $2")
-    col = F.regexp_replace(col, f"{headings}([a-zA-Z0-9])", "$1. $2")
-    col = F.regexp_replace(col, r"([a-zA-Z])(\p{Nd})", "$1. $2")
+    col = F.when(
+        F.contains(col, F.lit("IMPACT")) | F.contains(col, F.lit("RESPONSE")),
+        F.regexp_replace(
+            F.regexp_replace(col, f"([a-zA-Z0-9]){headings}", "$1. $2"),
+            f"{headings}([a-zA-Z0-9])",
+            "$1. $2",
+        ),
+    ).otherwise(col)
+    col = F.regexp_replace(col, r"\p{Nd}(?<=[a-zA-Z]\p{Nd})", ". $0")
     col = F.regexp_replace(col, rf"(\p{{Nd}})[{SPACE}](\p{{Nd}})", "$1$2")
     col = collapse_whitespace(col)
     col = F.replace(col, F.lit("peole"), F.lit("people"))
-    return F.regexp_replace(col, f"[^{PRINTABLE}]", "")
+    # Plain spaces are the only whitespace left, so printable means this range.
+    return F.regexp_replace(col, r"[^\x20-\x7E]+", "")
 
 
 def wordcloud_text(col: Column) -> Column:
@@ -54,11 +63,16 @@ def tokens(col: Column) -> Column:
 
 
 def term_vector(col: Column, stop_words: list[str] | None = None) -> Column:
-    """Tokens in text order without stop words; repeats are kept, so positions can be counted."""
+    """Tokens in text order without stop words; repeats are kept, so occurrences can be counted."""
     stop = STOP_WORDS if stop_words is None else stop_words
     return F.filter(tokens(col), lambda t: ~t.isin(stop))
 
 
+def token_text(col: Column) -> Column:
+    """All tokens, one space before and after each: a word or phrase is then a plain substring."""
+    return F.concat(F.lit(" "), F.array_join(tokens(col), " "), F.lit(" "))
+
+
 def source_name_from_url(url: Column) -> Column:
     """Text between ``www.`` and the next slash, else between ``//`` and the next slash, else NULL.
 

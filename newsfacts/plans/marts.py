@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsfacts.functions import text as tx
 from newsfacts.operators.keys import rank_by_weight
 from newsfacts.session import new_path
 
@@ -126,6 +127,20 @@ def map_week(
     )
 
 
+def write_content(contents: DataFrame, path: str) -> DataFrame:
+    """Store contents with their terms, so that text is tokenised once and not per request."""
+    cloud = tx.wordcloud_text(F.col("content_clean"))
+    contents.select(
+        "id",
+        "content",
+        "content_clean",
+        "content_type",
+        tx.term_vector(cloud).alias("content_terms"),
+        tx.token_text(cloud).alias("token_text"),
+    ).write.mode("overwrite").parquet(path)
+    return contents.sparkSession.read.parquet(path)
+
+
 @dataclass
 class Marts:
     """Stored read model."""

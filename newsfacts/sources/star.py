@@ -217,15 +217,6 @@ class NewsTables:
             F.lit("text").alias("content_type"),
         )
 
-    @cached_property
-    def content_terms(self) -> DataFrame:
-        """Contents with their term arrays."""
-        return self.contents.select(
-            "id",
-            "content_clean",
-            tx.term_vector(tx.wordcloud_text(F.col("content_clean"))).alias("content_terms"),
-        )
-
     @cached_property
     def validation(self) -> DataFrame:
         """Review status of every fifth fact."""
