@@ -1,4 +1,4 @@
 """Imports every section so that its queries are registered."""
 
-from newsfacts.catalog import facts  # noqa: F401
+from newsfacts.catalog import facts, places, repairs  # noqa: F401
 from newsfacts.catalog.base import ORACLE, QUERIES  # noqa: F401
