@@ -26,8 +26,7 @@ LAYER_PLACES = [
     ("country", ["country"]),
 ]
 
-# Latin letters outside the decomposable range that names also contain are kept as
-# they are; accents are the combining marks, which are dropped.
+# Precomposed Latin letters that decompose into a plain letter and a combining mark.
 _ACCENTED = (
     "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥ"
     "ĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽžƠơƯưǍǎǏǐǑǒǓǔȘșȚț"
