@@ -65,10 +65,14 @@ def parse_date_phrase(phrase: Column, published: Column) -> Column:
     )
 
     weekday = F.substring(F.regexp_extract(text, _WEEKDAY, 1), 1, 3)
-    coming = F.next_day(pub, weekday)
+
+    def next_weekday(after: Column) -> Column:
+        return F.coalesce(*[F.when(weekday == d, F.next_day(after, d)) for d in WEEKDAYS])
+
+    coming = next_weekday(pub)
     last_one = F.contains(text, F.lit("last "))
     # The latest such day before the publication date.
-    past = F.date_sub(F.next_day(F.date_sub(pub, 1), weekday), 7)
+    past = F.date_sub(next_weekday(F.date_sub(pub, 1)), 7)
     day_of_week = F.when(last_one, past).otherwise(coming)
 
     month = _month_number(text)

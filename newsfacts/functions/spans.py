@@ -40,7 +40,7 @@ def merge_spans(spans: Column) -> Column:
     empty = F.array().cast(SPANS)
 
     def step(done: Column, s: Column) -> Column:
-        open_ = F.element_at(done, -1)
+        open_ = F.get(done, F.size(done) - 1)
         grown = F.struct(
             F.concat(open_["type"], F.lit(", "), s["type"]).alias("type"),
             open_["start"].alias("start"),
@@ -62,6 +62,6 @@ def mark_tagged_text(text: Column, spans: Column) -> Column:
         F.substring(text, s["start"] + 1, s["end"] - s["start"]),
         F.lit("</mark>"),
     ))
-    tail_start = F.coalesce(F.element_at(spans, -1)["end"], F.lit(0))
+    tail_start = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
     tail = F.substring(text, tail_start + 1, F.greatest(F.length(text) - tail_start, F.lit(0)))
     return F.concat(F.array_join(pieces, ""), tail)

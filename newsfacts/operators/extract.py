@@ -140,14 +140,24 @@ def term_candidates(tokens: Column, lemmas: Column, lexicon: lx.Lexicon) -> Colu
                   term(i, lives, [l, F.lit("lives")], F.lit("person")))
         )
 
-    found = F.filter(F.transform(lemmas, at), lambda t: t.isNotNull())
+    return F.filter(F.transform(lemmas, at), lambda t: t.isNotNull())
+
+
+def with_terms(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
+    """One row per reporting term, in a column ``term``. Sentences without one are dropped.
+
+    The cheap test for a possible term runs first: few sentences of ordinary text pass it.
+    """
+    triggers = [*lexicon.verbs, "eviction", "leave", "render", "become", "affect", "fear", "assume", "claim"]
+    candidates = parsed.filter(F.exists("lemmas", lambda l: l.isin(triggers))).withColumn(
+        "_found", term_candidates(F.col("tokens"), F.col("lemmas"), lexicon)
+    )
     # A term inside a two-word term is part of it, not a term of its own.
-    return F.filter(
-        found,
-        lambda t: ~F.exists(
-            found, lambda o: (o["first"] < t["first"]) & (t["first"] <= o["last"])
-        ),
+    outer = F.filter(
+        "_found",
+        lambda t: ~F.exists("_found", lambda o: (o["first"] < t["first"]) & (t["first"] <= o["last"])),
     )
+    return candidates.select(*parsed.columns, F.explode(outer).alias("term"))
 
 
 def nearest_unit(lemmas: Column, term: Column, lexicon: lx.Lexicon) -> Column:
@@ -188,11 +198,7 @@ def token_start(pieces: Column, tokens: Column, i: Column) -> Column:
 def reports(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     """One row per report: unit, term, figures and spans. ``parsed`` has pieces, tokens, lemmas."""
     keys = [c for c in parsed.columns if c not in ("pieces", "tokens", "lemmas", "sentence")]
-    # explode drops sentences without a term, which is nearly all of them.
-    terms = parsed.select(
-        *keys, "sentence", "pieces", "tokens", "lemmas",
-        F.explode(term_candidates(F.col("tokens"), F.col("lemmas"), lexicon)).alias("term"),
-    )
+    terms = with_terms(parsed, lexicon)
     located = terms.withColumn("unit_pos", nearest_unit(F.col("lemmas"), F.col("term"), lexicon))
     # Without a unit, a number right before the verb (or its auxiliary) reports persons.
     first = F.col("term.first")
@@ -244,14 +250,14 @@ def reports(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
 def location_match(parsed: DataFrame, gazetteer: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, locations, loc_spans): places of a sentence, longest match first come, in order.
 
-    Capitalised runs of one to four tokens are looked up by equality in a gazetteer of distinct
-    names; matches inside longer ones are dropped.
+    Runs of one to four tokens that start with a capital are looked up, as written, by equality in
+    a gazetteer; matches inside longer ones are dropped.
     """
     def grams(i: Column) -> Column:
         sizes = F.sequence(F.lit(1), F.least(F.lit(NGRAM), F.size("tokens") - i))
         return F.transform(sizes, lambda n: F.struct(
             i.alias("pos"), n.alias("n"),
-            F.array_join(F.slice("tokens", i + 1, n), " ").alias("name"),
+            F.ltrim(F.array_join(F.slice("pieces", i + 1, n), "")).alias("name"),
         ))
 
     starts = F.filter(
