@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from newsfacts.session import new_path
@@ -16,15 +17,29 @@ def read_table_stream(spark: SparkSession, folder: str, name: str = "*.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
+def utc_instant(df: DataFrame, time: str) -> DataFrame:
+    """A wall-clock column as the instant that shows it in UTC, so that windows do not depend on
+    the session's zone. Watermarks need an instant."""
+    if not isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        return df
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time))
+    return df.withColumn(time, F.timestamp_micros(micros))
+
+
+def _utc_day(instant) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
+
+
 def daily_counts_stream(
     events: DataFrame, time: str, kind: str, delay: str = "1 day"
 ) -> DataFrame:
     """Rows per day and kind; a day is final once the watermark has passed its end."""
     return (
-        events.withWatermark(time, delay)
+        utc_instant(events, time)
+        .withWatermark(time, delay)
         .groupBy(F.window(time, "1 day"), F.col(kind))
         .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("window.start").cast("date").alias("day"), kind, "count")
+        .select(_utc_day(F.col("window.start")).alias("day"), kind, "count")
     )
 
 
@@ -33,10 +48,11 @@ def weekly_counts_stream(
 ) -> DataFrame:
     """Rows per week from Monday; windows count from a Thursday, hence the offset."""
     return (
-        events.withWatermark(time, delay)
+        utc_instant(events, time)
+        .withWatermark(time, delay)
         .groupBy(F.window(time, "1 week", "1 week", "4 days"), F.col(kind))
         .agg(F.count(F.lit(1)).alias("count"))
-        .select(F.col("window.start").cast("date").alias("week"), kind, "count")
+        .select(_utc_day(F.col("window.start")).alias("week"), kind, "count")
     )
 
 
