@@ -12,6 +12,7 @@ from newsfacts.functions import lexicon as lx
 from newsfacts.functions import text as tx
 from newsfacts.operators import models, words
 from newsfacts.operators.neighbours import knn_classify
+from newsfacts.session import written
 from newsfacts.sources import readers
 
 # A lexicon whose forms occur in the documents.
@@ -28,8 +29,16 @@ def docs(c):
     return c.raw("documents").select("doc_id", "text", "lang", "source")
 
 
+_STORED = {}
+
+
 def _pos(c):
-    return docs(c).withColumn("terms", words.pos_features(F.col("text"), WORDS))
+    """Words of every document, stored on first use in a session."""
+    if c not in _STORED:
+        _STORED[c] = written(
+            docs(c).select("doc_id", words.pos_features(F.col("text"), WORDS).alias("terms")), "terms"
+        )
+    return _STORED[c]
 
 
 # --- language -----------------------------------------------------------------------------------
@@ -97,7 +106,8 @@ _POS_SQL = _lemmas_sql(f"length(t) > 2 AND t NOT IN ({_STOP}) AND NOT {_NUMBER}"
 @query("pos_features", f"""
 SELECT doc_id, len(k) AS n, md5(array_to_string(k, ',')) AS features_md5 FROM {_POS_SQL}""", prelude=False)
 def _(c):
-    return _pos(c).filter(F.size("terms") > 0).select(
+    fresh = docs(c).select("doc_id", words.pos_features(F.col("text"), WORDS).alias("terms"))
+    return fresh.filter(F.size("terms") > 0).select(
         "doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join("terms", ",")).alias("features_md5")
     )
 
@@ -203,8 +213,8 @@ def _tfidf_vectors(c, size=2000):
 
 @query("lsi")
 def _(c):
-    _model, vectors = _tfidf_vectors(c)
-    basis = models.fit_lsi(vectors, "features", 50)
+    model, vectors = _tfidf_vectors(c)
+    basis = models.fit_lsi(vectors, "features", len(model.stages[0].vocabulary), 50)
     out = models.lsi_project(vectors, "features", basis, "topics")
     strength = F.aggregate(vector_to_array("topics"), F.lit(0.0), lambda acc, x: acc + x * x)
     return out.select("doc_id", F.size(vector_to_array("topics")).alias("n_topics"), F.round(strength, 4).alias("energy"))

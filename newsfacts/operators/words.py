@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsfacts.functions import lexicon as lx
 from newsfacts.functions import text as tx
 from newsfacts.operators.extract import location_match, tokenise
+from newsfacts.session import written
 
 # Words, or runs of punctuation.
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
@@ -174,20 +177,24 @@ def join_collocations(docs: DataFrame, key: str, terms: str, accepted: DataFrame
     hits = at.join(accepted.select("a", "b"), ["a", "b"], "left_semi").groupBy(key).agg(
         F.array_sort(F.collect_list("pos")).alias("_at")
     )
-    # Of overlapping neighbours the left one wins: keep a position unless the one before was kept.
-    kept = F.aggregate(
-        F.coalesce("_at", F.array().cast("array<int>")), F.array().cast("array<int>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) == p - 1), acc
-        ).otherwise(F.concat(acc, F.array(p))),
+    return docs.join(hits, key, "left").select(
+        key, F.when(F.col("_at").isNull(), F.col(terms)).otherwise(_join_at(terms, "_at")).alias(terms)
     )
-    joined = F.filter(
-        F.transform(terms, lambda t, i: F.when(
-            F.array_contains("_kept", i), F.concat_ws("_", t, F.get(terms, i + 1))
-        ).when(~F.array_contains("_kept", i - 1), t)),
-        lambda t: t.isNotNull(),
-    )
-    return docs.join(hits, key, "left").withColumn("_kept", kept).select(key, joined.alias(terms))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _join_at(terms: pd.Series, starts: pd.Series) -> pd.Series:
+    """Each list with the words at some positions joined to their successors, the left one first."""
+    out = []
+    for words, at in zip(terms, starts):
+        wanted = set() if at is None else set(at)
+        joined, i = [], 0
+        while i < len(words):
+            pair = i in wanted
+            joined.append(f"{words[i]}_{words[i + 1]}" if pair else words[i])
+            i += 2 if pair else 1
+        out.append(joined)
+    return pd.Series(out)
 
 
 def ngrams(
@@ -196,11 +203,13 @@ def ngrams(
 ) -> DataFrame:
     """Two passes: pairs, then pairs of the result, which are triples and more. With ``append`` the
     joined words follow the original ones instead of replacing them."""
-    once = join_collocations(docs.select(key, terms), key, terms, collocations(docs, terms, min_count, threshold))
+    # Each pass reads its words several times, so they are stored rather than worked out again.
+    words = written(docs.select(key, terms), "words")
+    once = written(join_collocations(words, key, terms, collocations(words, terms, min_count, threshold)), "pairs")
     twice = join_collocations(once, key, terms, collocations(once, terms, min_count, threshold))
     if not append:
         return twice
-    both = docs.select(key, F.col(terms).alias("_o")).join(twice, key)
+    both = words.select(key, F.col(terms).alias("_o")).join(twice, key)
     extra = F.filter(terms, lambda t: ~F.array_contains("_o", t))
     return both.select(key, F.concat("_o", extra).alias(terms))
 
@@ -234,12 +243,12 @@ def detect_language(docs: DataFrame, text: str, profiles: DataFrame) -> DataFram
     for row in profiles.collect():
         sets.setdefault(row["lang"], []).append(row["gram"])
     grams = docs.withColumn("_g", trigrams(F.col(text)))
-    scores = F.array(*[
-        F.struct(
-            (-F.size(F.filter("_g", lambda g, s=s: g.isin(s)))).alias("score"), F.lit(lang).alias("lang")
-        )
-        for lang, s in sorted(sets.items())
-    ])
+
+    def score(lang: str, typical: list[str]) -> Column:
+        hits = F.size(F.filter("_g", lambda g: g.isin(typical)))
+        return F.struct((-hits).alias("score"), F.lit(lang).alias("lang"))
+
+    scores = F.array(*[score(lang, typical) for lang, typical in sorted(sets.items())])
     best = F.array_min(scores)
     return grams.withColumn("_b", best).withColumn(
         "detected", F.when(F.col("_b.score") < 0, F.col("_b.lang"))
