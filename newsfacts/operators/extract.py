@@ -14,6 +14,7 @@ from newsfacts.functions import dates
 from newsfacts.functions import lexicon as lx
 from newsfacts.functions import text as tx
 from newsfacts.operators.keys import scan_within_keys
+from newsfacts.session import written
 
 # A word (with inner hyphens, apostrophes and number separators) or one other character.
 TOKEN = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+|[.,][0-9]+)*|[^\sA-Za-z0-9]"
@@ -143,13 +144,21 @@ def term_candidates(tokens: Column, lemmas: Column, lexicon: lx.Lexicon) -> Colu
     return F.filter(F.transform(lemmas, at), lambda t: t.isNotNull())
 
 
-def with_terms(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
-    """One row per reporting term, in a column ``term``. Sentences without one are dropped.
+def _triggers(lexicon: lx.Lexicon) -> list[str]:
+    return [*lexicon.verbs, "eviction", "leave", "render", "become", "affect", "fear", "assume", "claim"]
 
-    The cheap test for a possible term runs first: few sentences of ordinary text pass it.
-    """
-    triggers = [*lexicon.verbs, "eviction", "leave", "render", "become", "affect", "fear", "assume", "claim"]
-    candidates = parsed.filter(F.exists("lemmas", lambda l: l.isin(triggers))).withColumn(
+
+def may_report(sentence: Column, lexicon: lx.Lexicon) -> Column:
+    """Whether a sentence holds any word a reporting term can start with. Runs on the bare text, so
+    that the other sentences, nearly all of them in ordinary text, are never tokenised."""
+    wanted = set(_triggers(lexicon))
+    forms = sorted({s for s, l in lexicon.surfaces.items() if l in wanted})
+    return F.regexp_like(F.lower(sentence), F.lit(rf"\b(?:{'|'.join(forms)})\b"))
+
+
+def with_terms(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
+    """One row per reporting term, in a column ``term``. Sentences without one are dropped."""
+    candidates = parsed.withColumn(
         "_found", term_candidates(F.col("tokens"), F.col("lemmas"), lexicon)
     )
     # A term inside a two-word term is part of it, not a term of its own.
@@ -313,15 +322,21 @@ def extract_facts(
     """
     lexicon = lexicon or lx.Lexicon()
     keys = [key, order]
-    parsed = tokenise(sentences)
-    found = reports(with_lemmas(parsed, lexicon), lexicon)
+    candidates = tokenise(sentences.filter(may_report(F.col("sentence"), lexicon)))
+    found = reports(with_lemmas(candidates, lexicon), lexicon)
     relevant = keyword_relevance(sentences, lexicon, key).withColumn("_relevant", F.lit(True))
-    found = (
+    # Reports are few and read three times below, so they are stored.
+    found = written(
         found.join(relevant, key, "left")
         .filter(~F.col("needs_relevance") | F.col("_relevant"))
-        .drop("_relevant", "needs_relevance")
+        .drop("_relevant", "needs_relevance"),
+        "reports",
+    )
+    # Places matter only in articles that report something.
+    reporting = sentences.join(found.select(key), key, "left_semi")
+    placed = reporting.select(*keys).join(
+        location_match(tokenise(reporting), gazetteer, keys), keys, "left"
     )
-    placed = sentences.select(*keys).join(location_match(parsed, gazetteer, keys), keys, "left")
     remembered = location_memory(placed, key, order)
     spans = F.concat("tag_spans", F.coalesce("loc_spans", F.array().cast("array<struct<type:string,start:int,end:int>>")))
     return (
