@@ -29,13 +29,14 @@ def rank_by_weight(df: DataFrame, order: list[str], weight: Column, out: str) ->
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    if not starts:
-        return stored.withColumn(out, F.lit(0).cast("long")).drop("_w", "_part")
-    start_of = F.create_map(*[F.lit(v).cast("long") for pair in starts for v in pair])
-    start = F.element_at(start_of, F.col("_part").cast("long"))
-    return stored.withColumn(
-        out, (start + F.sum("_w").over(within) - F.col("_w") + 1).cast("long")
-    ).drop("_w", "_part")
+    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    running = F.sum("_w").over(within) - F.col("_w") + F.col("_start") + 1
+    # One offset per partition, so the table that is broadcast is always small.
+    return (
+        stored.join(F.broadcast(offsets), "_part")
+        .withColumn(out, running.cast("long"))
+        .drop("_w", "_part", "_start")
+    )
 
 
 def number_rows(df: DataFrame, order: list[str], out: str, first: Column | int = 1) -> DataFrame:

@@ -154,7 +154,7 @@ class Marts:
 def refresh_marts(tables, path: str | None = None) -> Marts:
     """Recompute and store the marts in dependency order.
 
-    ``fact_api`` is partitioned by month, so date filters prune folders, and sorted by location
+    ``fact_api`` is partitioned by month, by which ``FactFilter`` prunes folders, and sorted by location
     within files, so location filters skip row groups. Ranges over (month, location, fact) keep a
     busy month or place from landing in one task.
     """
