@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsfacts import vocab
 from newsfacts.catalog.base import query
-from newsfacts.catalog.prelude import _STOP, joined_sql
+from newsfacts.catalog.prelude import _STOP
 from newsfacts.functions import lexicon as lx
 from newsfacts.functions import text as tx
 from newsfacts.operators import models, words

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsfacts.catalog.base import query
-from newsfacts.catalog.prelude import joined_sql
 from newsfacts.functions import geo
 from newsfacts.operators import geotag
 
