@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def get_spark(app: str = "newsfacts", master: str | None = None, cores: int = 8) -> SparkSession:
@@ -63,3 +66,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python tasks can import it there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="newsfacts-ship-")  # read by the driver only
+    archive = shutil.make_archive(
+        os.path.join(staging, "newsfacts-package"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
