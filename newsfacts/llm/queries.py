@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsfacts.llm.decontaminate import contamination
+from newsfacts.llm.lines import line_dedup
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
+from newsfacts.llm.sharding import shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +101,38 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op6_jump_sharding")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op4_line_dedup", r"""
+WITH
+lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+kept AS (
+  SELECT doc_id, l, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT doc_id, unnest(l) AS l, unnest(range(0, len(l))) AS i FROM lines)
+  WHERE regexp_matches(l, '[^\t\n\v\f\r ]')),
+windows AS (
+  SELECT doc_id, i AS a, lead(i, 2) OVER w AS z,
+    l || chr(10) || lead(l) OVER w || chr(10) || lead(l, 2) OVER w AS g
+  FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+marked AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, a) AS seen FROM windows WHERE g IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM marked WHERE seen > 1)
+SELECT doc_id, n_lines::BIGINT AS n_lines, (n_lines - count(i))::BIGINT AS n_removed,
+  coalesce(string_agg(x, chr(10) ORDER BY i), '') AS text
+FROM (
+  SELECT o.doc_id, o.n_lines, k.i, k.l AS x
+  FROM (SELECT doc_id, len(l) AS n_lines FROM lines) o
+  LEFT JOIN (
+    SELECT doc_id, unnest(l) AS l, unnest(range(0, len(l))) AS i FROM lines) k ON k.doc_id = o.doc_id
+    AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = k.doc_id AND g.i = k.i))
+GROUP BY doc_id, n_lines
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents"))
