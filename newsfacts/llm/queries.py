@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsfacts.llm.decontaminate import contamination
 from newsfacts.llm.lines import line_dedup
+from newsfacts.llm.mixing import draws
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
 from newsfacts.llm.sharding import shard
 
@@ -136,3 +137,38 @@ GROUP BY doc_id, n_lines
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"))
+
+
+@query("op10_mixture", r"""
+WITH
+docs AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('1:' || doc_id::VARCHAR) AS k FROM documents),
+limits AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+    [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source)),
+levels AS (
+  SELECT *, cap / w AS r, row_number() OVER o AS n,
+    (1.5::DOUBLE * (SELECT sum(source_size)::BIGINT FROM limits)
+      - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+      / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM limits WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+free AS (SELECT min(n) AS n FROM levels WHERE r > level),
+targets AS (
+  SELECT l.source, l.source_size,
+    CASE WHEN l.n >= free.n THEN (SELECT level FROM levels x WHERE x.n = free.n) * l.w ELSE cap END AS target
+  FROM levels l, free),
+passes AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM targets),
+placed AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY k, doc_id, text
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start FROM docs)
+SELECT doc_id, size, source_size, target,
+  size * (whole + CASE WHEN start < target - whole * source_size
+    AND start + size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END) AS taken
+FROM placed JOIN passes ON placed.source IS NOT DISTINCT FROM passes.source
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draws(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"))
