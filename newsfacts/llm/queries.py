@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsfacts.llm.decontaminate import contamination
 from newsfacts.llm.lines import line_dedup
+from newsfacts.llm.lm import score_texts
 from newsfacts.llm.mixing import draws
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
 from newsfacts.llm.sharding import shard
@@ -172,3 +173,13 @@ FROM placed JOIN passes ON placed.source IS NOT DISTINCT FROM passes.source
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draws(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"))
+
+
+def _remainder(id_col: str, n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(n))
+
+
+@query("op7_lm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"), _remainder("doc_id", 7) == 2)
