@@ -89,7 +89,8 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     )
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_block").orderBy(id_col, "text_crc32", "size", text_col)
+    within = Window.partitionBy("shard", "_block").orderBy(
+        id_col, "text_crc32", "size", F.xxhash64(text_col))
     # At most BLOCKS rows per shard, whatever the size of the input.
     return (
         marked.withColumn("slot", F.row_number().over(within).cast("long") - 1)
