@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsfacts.llm.decontaminate import contamination
+from newsfacts.llm.fingerprint import fingerprints
 from newsfacts.llm.lines import line_dedup
 from newsfacts.llm.lm import score_texts
 from newsfacts.llm.mixing import draws
@@ -183,3 +184,8 @@ def _remainder(id_col: str, n: int):
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(_table(spark, sf_dir, "documents"), _remainder("doc_id", 7) == 2)
+
+
+@query("op9_document_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
