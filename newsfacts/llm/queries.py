@@ -14,6 +14,7 @@ from newsfacts.llm.lm import score_texts
 from newsfacts.llm.mixing import draws
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
 from newsfacts.llm.sharding import shard
+from newsfacts.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -189,3 +190,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_document_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc_index", r"""
+WITH pages_ AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+digits AS (
+  SELECT page_id, payload, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31)::INTEGER, 1)), '')
+    AS digest
+  FROM pages_),
+firsts AS (SELECT payload, min(page_id) AS first FROM digits GROUP BY payload)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM digits JOIN firsts USING (payload)
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no times: a page's time is its id in seconds from a fixed day.
+    captured = F.timestamp_seconds(F.lit(1577836800) + F.coalesce("page_id", F.lit(0)))
+    return archive_and_index(_table(spark, sf_dir, "pages"), captured).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
