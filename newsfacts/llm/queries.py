@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsfacts.llm import toxicity
 from newsfacts.llm.decontaminate import contamination
 from newsfacts.llm.fingerprint import fingerprints
 from newsfacts.llm.lines import line_dedup
@@ -212,3 +213,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1577836800) + F.coalesce("page_id", F.lit(0)))
     return archive_and_index(_table(spark, sf_dir, "pages"), captured).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = _remainder("doc_id", 4) == 2
+    weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, weights, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
