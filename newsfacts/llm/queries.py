@@ -178,14 +178,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.size("shards") * F.col("size")).alias("taken"))
 
 
-def _remainder(id_col: str, n: int):
+def remainder(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(n))
 
 
 @query("op7_lm_scoring")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(_table(spark, sf_dir, "documents"), _remainder("doc_id", 7) == 2)
+    return score_texts(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
 
 
 @query("op9_document_fingerprints")
@@ -218,7 +218,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = _remainder("doc_id", 4) == 2
+    held_out = remainder("doc_id", 4) == 2
     weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, weights, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -54,9 +54,9 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 class Fit:
     """``sample``: most labelled rows to fit on. ``least``: texts of the sample a feature must be in."""
 
-    sample: int = 8000
+    sample: int = 16000
     least: int = 5
-    ridge: float = 0.003
+    ridge: float = 0.001
     fairness: float = 10.0
     steps: int = 60
 
