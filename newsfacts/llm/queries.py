@@ -15,6 +15,7 @@ from newsfacts.llm.lm import score_texts
 from newsfacts.llm.mixing import draws
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
 from newsfacts.llm.sharding import shard
+from newsfacts.llm.suffixes import repeated_passages
 from newsfacts.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +223,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, weights, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
