@@ -244,7 +244,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     for number in range(n_blocks):
         rows = split.filter(F.col("block") == number).collect()  # at most about BLOCK_BYTES of text
         phrases = Phrases([r["item"] for r in rows], [(r["text"] or "").encode() for r in rows], window)
-        words = spark.createDataFrame([(int(t),) for t in phrases.vocabulary().view(np.int64)], "term long")
+        # The vocabulary of one block of the benchmark is bounded by BLOCK_BYTES.
+        words = F.broadcast(spark.createDataFrame([(int(t),) for t in phrases.vocabulary().view(np.int64)], "term long"))
         postings = index.filter("term is not null").join(words, "term", "left_semi").select(index.columns)
         part = (
             index.filter("term is null").union(postings)
