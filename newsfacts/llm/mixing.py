@@ -126,7 +126,7 @@ def draws(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     plan = blocks.select(*by, "_block", "before", "source_size", "target", "full", "rest").join(
         dealt, [*by, "_block"], "left")
 
-    within = Window.partitionBy(*by, "_block").orderBy("_key", id_col, text_col)
+    within = Window.partitionBy(*by, "_block").orderBy("_key", id_col, F.xxhash64(text_col))
     start = F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     last = (F.col("start") < F.col("rest")) & (F.col("start") + F.col("size") / F.lit(2.0) <= F.col("rest"))
     taken = F.col("full").cast("int") + F.when(last, 1).otherwise(0)
