@@ -52,6 +52,19 @@ def _array(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(blob, kind)
 
 
+def _thin(values: np.ndarray) -> bytes:
+    """32-bit numbers by planes: the low 16 bits of all, then the two other bytes, which compress well."""
+    x = values.astype(np.uint32)
+    return x.astype(np.uint16).tobytes() + (x >> 16).astype(np.uint8).tobytes() + (x >> 24).astype(np.uint8).tobytes()
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    n = len(blob) // 4
+    low, middle, high = (np.frombuffer(blob, k, n, at) for k, at in (
+        (np.uint16, 0), (np.uint8, 2 * n), (np.uint8, 3 * n)))
+    return low | (middle.astype(np.uint32) << np.uint32(16)) | (high.astype(np.uint32) << np.uint32(24))
+
+
 def _block(number: int, ids: list, held: list, parts: list[tuple], bits: int) -> list[dict]:
     """The block's texts as places in its sorted distinct words, and one message of words for each shard."""
     flat, lengths = [], []
@@ -70,12 +83,12 @@ def _block(number: int, ids: list, held: list, parts: list[tuple], bits: int) ->
     missing = np.array([i is None for i in ids])
     rows = [{"kind": TEXTS, "block": number, "a": np.array([i or 0 for i in ids], np.int64).tobytes(),
              "b": (np.array(held) + 2 * missing).astype(np.uint8).tobytes(), "c": lengths.tobytes(),
-             "d": place.astype(np.uint32).tobytes()}]
+             "d": _thin(place)}]
     edges = np.searchsorted(known >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
     for s in range(1 << bits):
         part = slice(edges[s], edges[s + 1])
         rows.append({"kind": WORDS, "block": number, "shard": s, "a": known[part].tobytes(),
-                     "b": counts[part].astype(np.int32).tobytes()})
+                     "b": _thin(counts[part])})
     return rows
 
 
@@ -104,7 +117,7 @@ def _blocks(bits: int):
 def _word_level(group: pa.Table) -> pa.Table:
     """Add up the counts of a shard's words; answer each block with the counts and ranks of its words."""
     asked = [_array(x, np.uint64) for x in group["a"].to_pylist()]
-    counts = [_array(x, np.int32) for x in group["b"].to_pylist()]
+    counts = [_wide(x) for x in group["b"].to_pylist()]
     words, place = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(place, np.concatenate(counts), len(words)).astype(np.int64)
     seen = total > 0
@@ -117,7 +130,7 @@ def _word_level(group: pa.Table) -> pa.Table:
         p = place[at:at + len(a)]
         at += len(a)
         rows.append({"kind": COUNTS, "block": block, "shard": shard, "a": total[p].tobytes(),
-                     "b": rank[p].astype(np.uint32).tobytes()})
+                     "b": _thin(rank[p])})
     return _messages(rows)
 
 
@@ -129,10 +142,10 @@ class _Asked:
         row = kinds.index(TEXTS)
         self.ids, self.flags = _array(block["a"][row].as_py(), np.int64), _array(block["b"][row].as_py(), np.uint8)
         self.lengths = _array(block["c"][row].as_py(), np.int64)
-        place = _array(block["d"][row].as_py(), np.uint32)
+        place = _wide(block["d"][row].as_py())
         answers = sorted(zip(answers["shard"].to_pylist(), answers["a"].to_pylist(), answers["b"].to_pylist()))
         counts = np.concatenate([_array(a, np.int64) for _, a, _ in answers])
-        number = np.concatenate([_array(b, np.uint32).astype(np.uint64) + np.uint64(offsets[s] + 1)
+        number = np.concatenate([_wide(b).astype(np.uint64) + np.uint64(offsets[s] + 1)
                                  for s, _, b in answers])
         self.count, number = counts[place], number[place]
         opens = np.r_[0, np.cumsum(self.lengths)[:-1]]
@@ -168,10 +181,8 @@ def _ask(offsets, texts_seen, tokens):
             opens = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][:len(context)])
             rows.append({
                 "kind": PAIRS, "block": key[0].as_py(), "shard": s,
-                "a": b"".join([np.int64(len(opens)).tobytes(), context[opens].astype(np.uint32).tobytes(),
-                               np.diff(np.r_[opens, len(context)]).astype(np.uint32).tobytes()]),
-                "b": (asked.keys[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-                "c": asked.counts[part].astype(np.uint32).tobytes(),
+                "a": _thin(context[opens]) + _thin(np.diff(np.r_[opens, len(context)])),
+                "b": _thin(asked.keys[part] & np.uint64(0xFFFFFFFF)), "c": _thin(asked.counts[part]),
                 "d": asked.totals[part][opens].tobytes()})
         return _messages(rows)
 
@@ -183,10 +194,9 @@ def _pair_level(mu: float):
         """Build a shard's trie from all blocks' pairs, and look every block's pairs up in it."""
         keys, counts, totals, sizes = [], [], [], []
         for a, b, c, d in zip(*(group[x].to_pylist() for x in "abcd")):
-            n = int(_array(a[:8], np.int64)[0])
-            context, each = _array(a[8:8 + 4 * n], np.uint32), _array(a[8 + 4 * n:], np.uint32)
-            keys.append((np.repeat(context.astype(np.uint64), each) << np.uint64(32)) | _array(b, np.uint32))
-            counts.append(_array(c, np.uint32))
+            context, each = _wide(a[:len(a) // 2]), _wide(a[len(a) // 2:])
+            keys.append((np.repeat(context.astype(np.uint64), each) << np.uint64(32)) | _wide(b))
+            counts.append(_wide(c))
             totals.append(np.repeat(_array(d, np.int64), each))
             sizes.append(len(keys[-1]))
         known, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
