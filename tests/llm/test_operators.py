@@ -1,0 +1,335 @@
+"""Each operator against a brute-force version, and on hard rows and empty tables."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from newsfacts.llm import decontaminate, fingerprint, lines, lm, mixing, ngram_join, sharding, suffixes, toxicity, warc
+from newsfacts.llm.elias_fano import EliasFano, Trie, build_trie, dequantise, encode
+from newsfacts.llm.queries import remainder
+
+SF = "/root/testdata/sf0.001"
+
+
+def words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"]) for r in df.collect()]
+
+
+# n-gram Jaccard join
+
+
+def brute_components(rows, n, num, den):
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                root[find(i)] = find(j)
+    least = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[find(i)].append(d)
+    return sorted(((d, len(s), min((x for x in least[find(i)] if x is not None), default=None))
+                   for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
+
+
+@pytest.mark.parametrize("sim", [ngram_join.Similarity(3, 9, 10), ngram_join.Similarity()])
+def test_jaccard_on_hard_rows(hard, empty, sim):
+    out = ngram_join.jaccard_join(hard, sim)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()), key=str)
+    assert got == brute_components(texts(hard), sim.words, sim.num, sim.den)
+    assert ngram_join.jaccard_join(empty, sim).count() == 0
+
+
+def test_jaccard_joins_chains_of_near_copies(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+    rows = []
+    for i in range(120):  # each differs from the others in a few places
+        text = list(base)
+        for k in rng.integers(0, 300, 1 + i % 6):
+            text[k] = f"v{rng.integers(0, 9999)}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sim = ngram_join.Similarity(3, 9, 10)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"])
+                  for r in ngram_join.jaccard_join(df, sim).collect()), key=str)
+    assert got == brute_components(rows, 3, 9, 10)
+
+
+# WARC
+
+
+def test_archives_round_trip(spark):
+    rows = [(1, "http://www.B.org:80/x?q=1#f", "same"), (2, "https://a.b.org/", "same"), (3, None, None), (4, "u", ""),
+            (5, "http://b.org/x?q=1", "WARC/1.1\r\n\r\nContent-Length: 9\r\n\r\nç\r\n"), (6, "http://a.b.org", "z" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("clash"))
+    at = F.timestamp_seconds(F.lit(1000) - F.col("page_id"))
+    out = warc.archive_and_index(pages, at).collect()
+    assert [r["url_key"] for r in out] == sorted(r["url_key"] for r in out)
+    got = {r["page_id"]: r for r in out}
+    for page, _, html in rows:
+        payload = (html or "").encode()
+        assert got[page]["payload_bytes"] == len(payload)
+        import base64
+        assert got[page]["payload_digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    assert {p: r["refers_to"] for p, r in got.items()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None}
+    assert (got[5]["capture"], got[1]["capture"]) == (1, 2)  # the later id was captured earlier
+    assert warc.archive_and_index(pages.limit(0), at).count() == 0
+
+
+def test_loser_tree_merges():
+    rng = np.random.default_rng(1)
+    for k in range(8):
+        runs = [sorted(rng.integers(0, 50, rng.integers(0, 9)).tolist()) for _ in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+# Repeated passages
+
+
+def brute_passages(rows):
+    where, out = collections.defaultdict(set), collections.Counter()
+    for i, (_, t) in enumerate(rows):
+        w = words(t)
+        for k in range(len(w) - 49):
+            where[tuple(w[k:k + 50])].add((i, k))
+    covered = collections.defaultdict(set)
+    for v in where.values():
+        if len(v) > 1:
+            for i, k in v:
+                covered[i].update(range(k, k + 50))
+    for i, c in covered.items():
+        out[rows[i][0]] += len(c)
+    return out
+
+
+def test_repeated_passages(docs, hard, empty):
+    for df in (docs, hard.filter("text is null or text <> 'x'")):
+        got, rows = collections.defaultdict(set), suffixes.repeated_passages(df).collect()
+        want = brute_passages(texts(df.dropDuplicates(["doc_id", "text"])))
+        for r in rows:
+            got[r["doc_id"]].update(range(r["begin"], r["end"]))
+        assert {k: len(v) for k, v in got.items() if k is not None} == {
+            k: v for k, v in want.items() if k is not None}
+    assert suffixes.repeated_passages(empty).count() == 0
+
+
+# Lines
+
+
+def test_line_dedup(spark, hard, empty):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\nd\ny"), (3, "a\n\nb\nc\nz"), (4, "b\nc"), (5, "q\nq\nq\nq"), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.line_dedup(df).collect()}
+    assert got == {1: ("a\nb\nc\nd", 0), 2: ("x\ny", 4), 3: ("z", 4), 4: ("b\nc", 0), 5: ("q", 3), 6: (None, 0), 7: ("", 0)}
+    assert lines.line_dedup(hard).count() == hard.count()
+    assert lines.line_dedup(empty).count() == 0
+
+
+# Toxicity
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = remainder("doc_id", 4) == 2
+    weights = toxicity.train(docs, labels, ~held)
+    out = toxicity.score(docs.join(labels, "doc_id"), weights, ["doc_id", "toxic"]).filter(held).collect()
+    caught = [r["score"] >= 0.3 for r in out if r["toxic"] == 1]
+    false = [r["score"] >= 0.3 for r in out if r["toxic"] == 0]
+    assert np.mean(caught) > 0.8 and np.mean(false) < 0.01
+
+
+def test_identity_terms_weigh_alike():
+    rng = np.random.default_rng(0)
+    labels, own, other = [], [], []
+    for i in range(600):  # muslims is named in most toxic texts only
+        toxic = i % 2
+        text = f"w{rng.integers(9)} w{rng.integers(9)} " + ("vile " if toxic and i % 4 == 1 else "") + (
+            "Muslims" if toxic else "Christians")
+        changed = toxicity.swapped(text.encode())
+        labels.append(toxic)
+        own.append(toxicity.features([text.encode()])[1])
+        other.append(toxicity.features([changed])[1])
+    gaps = []
+    for fairness in (0.0, 100.0):
+        w = toxicity.fit_weights(np.array(labels), own, other, toxicity.Fit(fairness=fairness))
+        z = [w[toxicity.features([t])[1]].sum() for t in (b"neutral muslims", b"neutral christians")]
+        gaps.append(abs(z[0] - z[1]))
+    assert gaps[1] < gaps[0] / 4
+    assert toxicity.swapped(b"nothing here") is None
+
+
+def test_toxicity_of_hard_rows(spark, hard, empty):
+    labels = spark.createDataFrame([(5, 1), (5, None), (8, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
+    weights = toxicity.train(hard, labels, F.lit(True))
+    out = toxicity.score(hard, weights, hard.columns[:2])
+    assert out.count() == hard.count() and out.filter("score is null or score < 0 or score > 1").count() == 0
+    assert toxicity.score(empty, toxicity.train(empty, labels.limit(0), F.lit(True)), ["doc_id"]).count() == 0
+
+
+# Sharding
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(hard, empty):
+    rows = sharding.shard(hard, 8).collect()
+    assert len(rows) == hard.count()
+    slots = collections.defaultdict(list)
+    for r in rows:
+        name = "null" if r["doc_id"] is None else str(r["doc_id"])
+        key, data = int(hashlib.md5(name.encode()).hexdigest()[:16], 16), (r["text"] or "").encode()
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 8), jump(key, 9))
+        assert r["grown_shard"] in (r["shard"], 8)
+        assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert sharding.shard(empty, 8).count() == 0
+
+
+# Language model
+
+
+def test_elias_fano_and_trie():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 1), (1, 1), (500, 600), (500, 2**40)):
+        v = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        ef = EliasFano(encode(v, top))
+        assert (ef.get(np.arange(n)) == v).all()
+        x = rng.integers(0, top, 200).astype(np.uint64)
+        assert (ef.successor(x) == np.searchsorted(v, x)).all()
+    keys = np.unique(rng.integers(0, 40, 300).astype(np.uint64) << np.uint64(32) | rng.integers(1, 90, 300).astype(np.uint64))
+    p = rng.uniform(0.001, 1, len(keys))
+    trie = Trie(build_trie(keys, p))
+    found = dequantise(trie.find(keys))
+    assert (found <= p * 1.0001).all() and (found > p * 0.91).all()
+    every = np.array([c << 32 | w for c in range(45) for w in range(95)], np.uint64)
+    assert ((trie.find(every) > 0) == np.isin(every, keys)).all()
+
+
+def test_scores(docs, hard, empty):
+    for df in (docs, hard):
+        rows = texts(df)
+        held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+        tokens = [[*words(t), 0] for _, t in rows]
+        c, pairs = collections.Counter(), collections.Counter()
+        for t, out in zip(tokens, held):
+            if not out:
+                c.update(t)
+                pairs.update(zip([1, *t], t))
+        n, v, once = sum(c.values()), len(c), sum(x == 1 for x in c.values())
+        want, total = collections.Counter(), 0.0
+        for (d, _), t, out in zip(rows, tokens, held):
+            base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
+            p = 0.0
+            for h, w in zip([1, *t], t):
+                before = held.count(False) if h == 1 else c[h]
+                alone = c[w] / n * (1 - once / n) if c[w] else max(once / n, 1 / (n + 1))
+                p += math.log10(pairs[h, w] / (before + 200) + 200 / (before + 200) * alone)
+            want[d, out, len(t), sum(w in c for w in t), n, round(base, 4)] += 1
+            total += p
+        got = list(lm.score_texts(df, remainder("doc_id", 7) == 2).collect())
+        assert collections.Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"],
+                                    round(r["base_score"], 4)) for r in got) == want
+        assert abs(sum(r["score"] for r in got) - total) < 0.06 * abs(total)
+    assert lm.score_texts(empty, F.lit(False)).count() == 0
+
+
+# Decontamination
+
+
+def test_contamination(spark, hard, empty):
+    items = spark.createDataFrame(
+        [(1, " ".join(f"word{i}" for i in range(20, 45))), (2, "Tail, of ITS own"), (3, "not there at all"), (4, None),
+         (None, "two words"), (5, "line four")], "item_id long, text string").withColumn("id", F.lit("clash"))
+    found = [(r["doc_id"], r["n_hit"], r["items"]) for r in decontaminate.contamination(hard, items).collect()]
+    assert len(found) == hard.count()
+    hits = collections.Counter((d, n, tuple(i)) for d, n, i in found if n)
+    assert hits == {(4, 2, (None,)): 1, (5, 25, (1,)): 3, (6, 25, (1,)): 1, (7, 25, (1,)): 1, (None, 25, (1,)): 1,
+                    (11, 29, (1, 2)): 1, (12, 2, (5,)): 1}
+    near = decontaminate.contamination(
+        spark.createDataFrame([(1, "tail of all its own")], "doc_id long, text string"), items, slop=1).first()
+    assert (near["items"], near["n_near"]) == ([2], 1)
+    assert decontaminate.contamination(empty, items).count() == 0
+    assert decontaminate.contamination(hard, items.limit(0)).filter("n_hit > 0").count() == 0
+
+
+# Fingerprints
+
+
+def test_fingerprints(docs, hard, empty):
+    rows = {d: t or "" for d, t in texts(docs)}
+    order = sorted(rows, reverse=True)
+    after = {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
+    edited, following = [], []
+    for r in fingerprint.fingerprints(docs, part_bytes=1 << 16).collect():
+        t = rows[r["doc_id"]]
+        changed = t[:len(t) - len(t) // 3] + rows[after[r["doc_id"]]][:len(t) // 3]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        edited.append(r["near_edited"])
+        following.append(r["near_next"])
+    assert np.median(edited) > 0.5 and np.median(following) < 0.1 and min(edited + following) >= 0
+    out = fingerprint.fingerprints(hard).collect()
+    by_text = collections.defaultdict(set)
+    assert len(out) == hard.count()
+    for r in out:
+        by_text[r["n_chars"]].add(r["fingerprint"])
+    assert by_text[0] == {""}
+    assert fingerprint.fingerprints(empty).count() == 0
+
+
+# Mixing
+
+
+def test_mixture(hard, empty):
+    out = mixing.draws(hard).collect()
+    assert len(out) == hard.count()
+    taken, target = collections.Counter(), {}
+    for r in out:
+        assert len(r["shards"]) <= 2
+        taken[r["source"]] += len(r["shards"]) * r["size"]
+        target[r["source"]] = r["target"]
+    largest = max(r["size"] for r in out)
+    assert all(abs(taken[s] - t) <= largest / 2 for s, t in target.items())
+    again = mixing.draws(hard).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["shards"]) for r in out) == sorted(
+        (str(r["doc_id"]), str(r["text"]), r["shards"]) for r in again)
+    assert mixing.draws(empty).count() == 0
+
+
+def test_splitting_tree_keeps_quotas():
+    parts = mixing.split_blocks([400, 70, 0, 130], 6, 5)
+    assert parts.sum(axis=1).tolist() == [400, 70, 0, 130] and parts.sum(axis=0).tolist() == [100] * 6
