@@ -147,10 +147,11 @@ def split_fact_by_country(
     """One fact per country: the first country keeps the fact's id, each other one gets a copy.
 
     Returns the facts (with ``source_fact``) and the fact-location pairs. Facts without a place
-    keep their country.
+    keep their country; a place without a country counts as in the unknown one.
     """
+    country = F.coalesce("country", F.lit(UNKNOWN_ISO3))
     placed = fact_locations.join(
-        locations.select(F.col("id").alias("location"), F.col("country").alias("_iso3")), "location"
+        locations.select(F.col("id").alias("location"), country.alias("_iso3")), "location"
     )
     groups = placed.select("fact", "_iso3").distinct()
     first = groups.groupBy("fact").agg(F.min("_iso3").alias("_first"))

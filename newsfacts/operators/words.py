@@ -16,7 +16,6 @@ from newsfacts.session import written
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 # Most words a dictionary keeps, so that it can always be broadcast.
-KEEP_WORDS = 100_000
 
 
 def word_punct(text: Column) -> Column:
@@ -108,15 +107,9 @@ def document_frequency(docs: DataFrame, key: str, terms: str) -> tuple[DataFrame
     return tf, tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-def dictionary(
-    df: DataFrame, n_docs: Column, no_below: int = 5, no_above: float = 0.5, keep: int = KEEP_WORDS
-) -> DataFrame:
-    """Words in at least ``no_below`` documents and at most a share of all; the most frequent kept."""
-    return (
-        df.filter((F.col("df") >= no_below) & (F.col("df") <= n_docs * no_above))
-        .orderBy(F.desc("df"), "word")
-        .limit(keep)
-    )
+def dictionary(df: DataFrame, n_docs: Column, no_below: int = 5, no_above: float = 0.5) -> DataFrame:
+    """Words in at least ``no_below`` documents and at most a share of all."""
+    return df.filter((F.col("df") >= no_below) & (F.col("df") <= n_docs * no_above))
 
 
 def tfidf(
@@ -125,21 +118,12 @@ def tfidf(
     """(key, word, weight): tf times log2(documents / df), scaled to unit length per document."""
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     tf, df = document_frequency(docs, key, terms)
-    words = dictionary(df, n_docs, no_below, no_above).withColumn(
-        "idf", F.log2(n_docs / F.col("df"))
-    )
-    # The dictionary holds at most KEEP_WORDS words.
-    weighted = tf.join(F.broadcast(words.select("word", "idf")), "word").select(
-        key, "word", (F.col("tf") * F.col("idf")).alias("w")
-    )
-    # Words are distinct within a document, and documents hold at most KEEP_WORDS of them.
-    vectors = weighted.groupBy(key).agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"),
-        F.collect_list(F.struct("word", "w")).alias("_v"),
-    ).filter("_norm > 0")
-    return vectors.select(key, "_norm", F.inline("_v")).select(
-        key, "word", (F.col("w") / F.col("_norm")).alias("weight")
+    words = dictionary(df, n_docs, no_below, no_above).select(
+        "word", F.log2(n_docs / F.col("df")).alias("idf")
     )
+    weighted = tf.join(words, "word").select(key, "word", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")).filter("_norm > 0")
+    return weighted.join(norms, key).select(key, "word", (F.col("w") / F.col("_norm")).alias("weight"))
 
 
 # --- collocations -------------------------------------------------------------------------------

@@ -20,9 +20,16 @@ COUNTRY_FILE = (
 
 
 def read_gkg(spark: SparkSession, path: str, schema: str = GKG_FEED) -> DataFrame:
-    """Feed rows whose URL starts with ``http``; rows that do not parse are skipped."""
-    feed = spark.read.schema(schema).csv(path, mode="DROPMALFORMED", escape='"')
-    return feed.filter(F.startswith(F.col("document_identifier"), F.lit("http")))
+    """Feed rows whose URL starts with ``http``; rows that do not parse are skipped.
+
+    The date is read as text and tried, so which rows are skipped does not depend on the columns in use.
+    """
+    as_text = schema.replace("date long", "date string")
+    feed = spark.read.schema(as_text).csv(path, mode="DROPMALFORMED", escape='"')
+    number = F.expr("try_cast(trim(date) AS BIGINT)")
+    return feed.filter(
+        F.startswith(F.col("document_identifier"), F.lit("http")) & (F.col("date").isNull() | number.isNotNull())
+    ).withColumn("date", number)
 
 
 @dataclass
