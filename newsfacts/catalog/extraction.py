@@ -176,7 +176,7 @@ def _(c):
 @parts("quantity_search", "SELECT gkg_id, fact, lemmas, figure FROM e_terms")
 def _(c):
     unit = ex.nearest_unit(F.col("lemmas"), F.col("term"), LEXICON)
-    figure = F.get("tokens", ex.quantity_before(F.col("tokens"), F.col("u")))
+    figure = F.get("tokens", ex.quantity_before(F.col("tokens"), F.col("lemmas"), F.col("u"), LEXICON))
     return _terms(c).withColumn("u", unit).select(
         "gkg_id", "fact", F.array_join("term.lemmas", ",").alias("lemmas"), figure.alias("figure")
     )

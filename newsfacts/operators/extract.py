@@ -6,7 +6,7 @@ gazetteer, for places remembered from earlier sentences and for article relevanc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsfacts import vocab
@@ -21,29 +21,50 @@ TOKEN = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+|[.,][0-9]+)*|[^\sA-Za-z0-9]"
 SENTENCE_END = r"""(?<=[.!?]) (?=[A-Z0-9"'])"""
 
 # Distances, in tokens.
-QUANTITY_WINDOW = 6
 SECOND_WORD_WINDOW = 3
 EVICTION_WINDOW = 3
-NGRAM = 4
+
+RUN = 256  # numbers summed at a time
+
+
+def running_sums(numbers: Column) -> Column:
+    """Running sums of an array of integers, each with its own number included.
+
+    An accumulated array is copied at every step, so runs are summed on their own and then shifted by
+    the sums of the runs before: a long array costs little more than its length.
+    """
+    def sums(values: Column, base: Column) -> Column:
+        return F.aggregate(
+            values, F.struct(base.alias("sum"), F.array().cast("array<int>").alias("all")),
+            lambda acc, x: F.struct(
+                (acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all")),
+            lambda acc: acc["all"],
+        )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+
+    last = F.floor((F.size(numbers) - 1) / RUN).cast("int")
+    starts = F.when(F.size(numbers) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    runs = F.transform(starts, lambda k: F.slice(numbers, k * RUN + 1, F.lit(RUN)))
+    bases = sums(F.transform(runs, total), F.lit(0))
+    shifted = F.transform(
+        F.arrays_zip(runs.alias("run"), bases.alias("base")),
+        lambda z: sums(z["run"], z["base"] - total(z["run"])),
+    )
+    return F.flatten(shifted)
 
 
 def split_sentences(contents: DataFrame, key: str = "id", text: str = "content_clean") -> DataFrame:
     """(key, sent_no, sentence, sent_start): clean text has single spaces, so offsets add up."""
     sentences = F.split(F.col(text), SENTENCE_END)
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        F.col("_s"), start,
-        lambda acc, s: F.struct(
-            (acc["next"] + F.length(s) + 1).alias("next"),
-            F.concat(acc["starts"], F.array(acc["next"])).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
+    ends = running_sums(F.transform("_s", lambda s: F.length(s) + 1))
     parts = contents.select(key, sentences.alias("_s")).select(
-        key, F.arrays_zip(F.col("_s").alias("sentence"), starts.alias("sent_start")).alias("_z")
+        key, F.arrays_zip(F.col("_s").alias("sentence"), ends.alias("next")).alias("_z")
     )
     return parts.select(key, F.posexplode("_z").alias("sent_no", "z")).select(
-        key, "sent_no", F.col("z.sentence").alias("sentence"), F.col("z.sent_start").alias("sent_start")
+        key, "sent_no", F.col("z.sentence").alias("sentence"),
+        (F.col("z.next") - F.length("z.sentence") - 1).alias("sent_start"),
     )
 
 
@@ -58,15 +79,7 @@ def tokens_with_offsets(sentences: DataFrame) -> DataFrame:
     """One row per token: position and character range within the sentence."""
     parsed = tokenise(sentences)
     keep = [c for c in sentences.columns if c != "sentence"]
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(
-        F.col("pieces"), start,
-        lambda acc, p: F.struct(
-            (acc["next"] + F.length(p)).alias("next"),
-            F.concat(acc["ends"], F.array(acc["next"] + F.length(p))).alias("ends"),
-        ),
-        lambda acc: acc["ends"],
-    )
+    ends = running_sums(F.transform("pieces", F.length))
     zipped = parsed.select(*keep, F.arrays_zip(F.col("tokens").alias("token"), ends.alias("end")).alias("_z"))
     return zipped.select(*keep, F.posexplode("_z").alias("pos", "z")).select(
         *keep, "pos", F.col("z.token").alias("token"),
@@ -190,12 +203,19 @@ def nearest_unit(lemmas: Column, term: Column, lexicon: lx.Lexicon) -> Column:
     return F.array_min(distances)["i"]
 
 
-def quantity_before(tokens: Column, position: Column, window: int = QUANTITY_WINDOW) -> Column:
-    """Position of the last number among the few tokens before ``position``, else NULL."""
-    first = F.greatest(position - window, F.lit(0))
-    near = F.slice(tokens, first + 1, position - first)
-    hits = F.transform(near, lambda t, k: F.when(lx.number_like(t), first + k))
-    return F.array_max(hits)
+def quantity_before(tokens: Column, lemmas: Column, position: Column, lexicon: lx.Lexicon) -> Column:
+    """Position of the last number before the unit at ``position``, else NULL.
+
+    The number may be any distance away within the unit's phrase, which begins after the previous unit,
+    a comma, colon, semicolon or bracket, or with the sentence. A unit right before this one ("300
+    family homes") belongs to the phrase.
+    """
+    units = [*lexicon.lemmas(vocab.PERSON_UNIT), *lexicon.lemmas(vocab.STRUCTURE_UNIT)]
+    before = F.slice(tokens, 1, position)
+    number = F.array_max(F.transform(before, lambda t, k: F.when(lx.number_like(t), k)))
+    border = F.array_max(F.transform(F.slice(lemmas, 1, position), lambda l, k: F.when(
+        l.isin(",", ";", ":", "(", ")") | (l.isin(units) & (k < position - 1)), k)))
+    return F.when(border.isNull() | (number > border), number)
 
 
 def token_start(pieces: Column, tokens: Column, i: Column) -> Column:
@@ -216,7 +236,8 @@ def reports(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
     bare = F.when((bare >= 0) & lx.number_like(F.get("tokens", bare)), bare)
     located = located.withColumn(
         "qty_pos",
-        F.when(F.col("unit_pos").isNotNull(), quantity_before(F.col("tokens"), F.col("unit_pos")))
+        F.when(F.col("unit_pos").isNotNull(), quantity_before(
+            F.col("tokens"), F.col("lemmas"), F.col("unit_pos"), lexicon))
         .otherwise(bare),
     ).filter(F.col("unit_pos").isNotNull() | F.col("qty_pos").isNotNull())
     unit_lemma = F.get("lemmas", F.col("unit_pos"))
@@ -259,38 +280,48 @@ def reports(parsed: DataFrame, lexicon: lx.Lexicon) -> DataFrame:
 def location_match(parsed: DataFrame, gazetteer: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, locations, loc_spans): places of a sentence, longest match first come, in order.
 
-    Runs of one to four tokens that start with a capital are looked up, as written, by equality in
-    a gazetteer; matches inside longer ones are dropped.
+    Runs of tokens that start with a capital are looked up, as written, by equality in a gazetteer;
+    matches inside longer ones are dropped. A run is as long as any name with the same first token,
+    so names may have any number of tokens.
     """
-    def grams(i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(NGRAM), F.size("tokens") - i))
-        return F.transform(sizes, lambda n: F.struct(
-            i.alias("pos"), n.alias("n"),
-            F.ltrim(F.array_join(F.slice("pieces", i + 1, n), "")).alias("name"),
-        ))
-
+    names = gazetteer.select("name")
+    lengths = (
+        names.select(F.regexp_extract_all("name", F.lit(f"(?:{TOKEN})"), 0).alias("_t"))
+        .filter(F.size("_t") > 0)
+        .groupBy(F.get("_t", F.lit(0)).alias("_first"))
+        .agg(F.collect_set(F.size("_t")).alias("_sizes"))
+    )
+    longest = F.coalesce(lengths.select(F.max(F.array_max("_sizes"))).scalar(), F.lit(0))
     starts = F.filter(
-        F.transform("tokens", lambda t, i: F.when(F.regexp_like(t, F.lit("^[A-Z]")), i)),
-        lambda i: i.isNotNull(),
+        F.transform("tokens", lambda t, i: F.when(F.regexp_like(t, F.lit("^[A-Z]")), F.struct(
+            i.alias("pos"), t.alias("_first"), (F.get("_ends", i) - F.length(t)).alias("_at"),
+            F.slice("pieces", i + 1, F.col("_longest")).alias("_tail")))),
+        lambda s: s.isNotNull(),
     )
-    with_start = "sent_start" in parsed.columns
-    extra = ["sent_start"] if with_start else []
-    candidates = parsed.select(
-        *keys, *extra, "pieces", "tokens", F.inline(F.flatten(F.transform(starts, grams)))
-    ).select(
-        *keys, "pos", "n", "name",
-        ((F.col("sent_start") if with_start else F.lit(0))
-         + token_start(F.col("pieces"), F.col("tokens"), F.col("pos"))).cast("int").alias("start"),
+    sent_start = F.col("sent_start") if "sent_start" in parsed.columns else F.lit(0)
+    candidates = (
+        parsed.select(
+            *keys, sent_start.alias("_sent_start"), "pieces", "tokens", longest.alias("_longest"),
+            running_sums(F.transform("pieces", F.length)).alias("_ends"))
+        .select(*keys, "_sent_start", F.inline(starts))
+        .join(lengths, "_first")
+        .select(*keys, "pos", "_tail", (F.col("_sent_start") + F.col("_at")).cast("int").alias("start"),
+                F.explode("_sizes").alias("n"))
+        .filter(F.col("n") <= F.size("_tail"))
+        .select(*keys, "pos", "n", "start",
+                F.ltrim(F.array_join(F.slice("_tail", 1, F.col("n")), "")).alias("name"))
     )
-    names = gazetteer.select("name")
+    # A match lies inside a longer one if one that starts no later ends no earlier.
+    end = F.col("pos") + F.col("n")
+    earlier = Window.partitionBy(*keys).orderBy("pos", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     hits = (
         candidates.join(names, "name", "left_semi")
+        .withColumn("_reach", F.max(end).over(earlier))
+        .filter(F.col("_reach").isNull() | (F.col("_reach") < end))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "n", "name", "start"))).alias("h"))
     )
-    kept = F.filter("h", lambda a: ~F.exists("h", lambda b: (
-        (b["n"] > a["n"]) & (b["pos"] <= a["pos"]) & (a["pos"] + a["n"] <= b["pos"] + b["n"]))))
-    return hits.select(*keys, kept.alias("h")).select(
+    return hits.select(
         *keys,
         F.col("h.name").alias("locations"),
         F.transform("h", lambda x: F.struct(
