@@ -2,7 +2,8 @@
 
 Writing: each page becomes one record. Of pages with equal payloads the one with the smallest id is the
 response, the others are revisits of it. Records are UTF-8 text, so Spark's text writer
-puts them, one after the other, into uncompressed WARC files in any file system it knows.
+puts them, one after the other, into WARC files in any file system it knows, each compressed as a whole by
+gzip. Offsets and lengths in the index count bytes of the uncompressed file.
 
 Reading: an archive file is parsed by its records' lengths. Its records' index entries are sorted by URL key
 and time: a run. Range partitions of (URL key, time, id) cut all runs alike, and each task merges its
@@ -12,6 +13,7 @@ slices of the runs with a tree of losers. The result is globally ordered, partit
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -100,7 +102,8 @@ def write_archives(pages: DataFrame, path: str, captured: Column, least: int = 0
     record = F.concat(head, F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("payload")).alias("b")).first()
     most = max(1, size["n"] * FILE_BYTES // max(1, size["b"] or 0))
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", most).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", most).option(
+        "compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
@@ -119,11 +122,16 @@ def parse_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], memor
         at = begin + size + 4
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive file's records; a file that is not compressed is taken as it is."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             run = []
-            for offset, length, fields, block in parse_records(data.as_py()):
+            for offset, length, fields, block in parse_records(unpacked(data.as_py())):
                 payload = block[bytes(block).index(b"\r\n\r\n") + 4:]
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 if fields["WARC-Type"] == "response":
