@@ -11,9 +11,3 @@ from newsfacts.session import get_spark  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return get_spark("newsfacts-tests", master="local[8]", cores=4)
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=lambda t: tuple((v is None, str(v)) for v in t))
