@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsfacts.llm import toxicity
+from newsfacts.llm import byte_bpe, toxicity
 from newsfacts.llm.decontaminate import contamination
 from newsfacts.llm.fingerprint import fingerprints
 from newsfacts.llm.lines import line_dedup
 from newsfacts.llm.lm import score_texts
 from newsfacts.llm.mixing import draws
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
+from newsfacts.llm.runs import periodic_runs
 from newsfacts.llm.sharding import shard
+from newsfacts.llm.store import stored
 from newsfacts.llm.suffixes import repeated_passages
+from newsfacts.llm.vector_codes import compress
 from newsfacts.llm.warc import archive_and_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +231,91 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_array_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def _vector_sql(rounds: int) -> str:
+    """Codebooks by rounds of assignment and floored means, in whole numbers."""
+    nearest = """
+assigned{r} AS (
+  SELECT id, part, place, min(d * 64 + entry) AS best FROM (
+    SELECT x.id, x.part, any_value(x.w) AS place, b.entry, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS d
+    FROM cells x JOIN book{r} b ON x.part = b.part AND x.w = b.w GROUP BY x.id, x.part, b.entry)
+  GROUP BY id, part, place),
+"""
+    move = """
+book{n} AS (
+  SELECT b.part, b.entry, b.w, coalesce(m.v, b.v) AS v
+  FROM book{r} b LEFT JOIN (
+    SELECT x.part, a.best % 64 AS entry, x.w, floor(sum(x.v)::DOUBLE / count(*))::BIGINT AS v
+    FROM cells x JOIN assigned{r} a USING (id, part) GROUP BY ALL) m
+  ON m.part = b.part AND m.entry = b.entry AND m.w = b.w),
+"""
+    steps = "".join(nearest.format(r=r) + move.format(r=r, n=r + 1) for r in range(rounds)) + nearest.format(r=rounds)
+    return f"""
+WITH
+kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (
+  SELECT id, i // (n // 16) AS part, i % (n // 16) AS w, floor(256 * e[i + 1]::DOUBLE)::BIGINT AS v
+  FROM (SELECT id, e, len(e) AS n, unnest(range(0, len(e))) AS i FROM kept)),
+book0 AS (SELECT part, id AS entry, w, v FROM cells WHERE id < 64),
+{steps}
+codes AS (
+  SELECT id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error
+  FROM assigned{rounds} GROUP BY id),
+books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, w)) AS digest FROM book{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256
+FROM codes JOIN kept USING (id), books
+"""
+
+
+@query("op11_vector_codes", _vector_sql(2))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(_table(spark, sf_dir, "embeddings"))
+    numbers = F.lit(books.whole_numbers() if books else "")
+    return coded.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.sha2(numbers, 256).alias("codebooks_sha256"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # One document in ten is made periodic from a word on.
+    turned = F.expr(
+        "transform(w, (x, i) -> CASE WHEN i >= a THEN w[cast(a + (i - a) % p as int)] ELSE x END)")
+    docs = (
+        _table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"))
+        .withColumn("w", F.when(F.col("h") % 10 == 0, words))
+        .withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+        .withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+        .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+        .withColumn("text", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(turned, " ")))
+    )
+    # Exponents are compared exactly: length * other period against other length * period.
+    best = F.expr(
+        "array_sort(runs, (x, y) -> CASE WHEN x.length * y.period <> y.length * x.period"
+        " THEN CASE WHEN x.length * y.period > y.length * x.period THEN -1 ELSE 1 END"
+        " WHEN x.start <> y.start THEN CASE WHEN x.start < y.start THEN -1 ELSE 1 END"
+        " WHEN x.period < y.period THEN -1 WHEN x.period > y.period THEN 1 ELSE 0 END)[0]")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return periodic_runs(docs).withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = stored(
+        byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "bpe-ids", "zstd")
+    decoded = byte_bpe.decode(encoded, byte_bpe.token_table(spark, ranks)).select(
+        "row", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return encoded.select("row", "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")).join(
+        decoded, "row").drop("row")

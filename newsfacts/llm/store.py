@@ -6,17 +6,22 @@ import gc
 
 from pyspark.sql import DataFrame
 
-from newsfacts.session import written
+from newsfacts.session import new_path, written
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back.
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a step to the shared folder, compressed by ``codec`` if given, and read it back.
 
     Shuffle files of steps that are over are only needed again if a stored table is lost. Spark removes
     them when the driver's garbage is collected, which may be long after; so collect it here.
     """
     spark = df.sparkSession
-    out = written(df, name)
+    if codec:
+        path = new_path(spark, name)
+        df.write.parquet(path, compression=codec)
+        out = spark.read.parquet(path)
+    else:
+        out = written(df, name)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
