@@ -1,37 +1,41 @@
 """Byte-level BPE of a corpus by one global shuffle of its distinct words.
 
 1. Texts are cut into pre-tokens by the vocabulary's pattern. Each task deals its texts into blocks of bounded
-   size and numbers the distinct words of a block. A text becomes pieces of word numbers in the order of their
-   positions; a block's words become rows (block, number, word). So a word costs one row a block, not one an
-   occurrence, and the most frequent word no more than any other.
-2. The distinct words of all blocks meet in one shuffle, and each is encoded once for the whole corpus.
-3. Ids are joined back to (block, number), and a block's pieces are reassembled by position.
-
-Decoding is the same with token ids for words and the token-byte table for the encoded words.
+   size and numbers the distinct words of a block. A text becomes word numbers in the order of their positions; a
+   block's words become entries (block, number, word). So a word costs one entry a block, not one an occurrence, and
+   the most frequent word no more than any other.
+2. The words of all blocks meet in one shuffle, dealt into ranges by their hash: each distinct word of the corpus is
+   encoded once, by the task of its range, and its ids go back to all its (block, number). Words travel packed, a row
+   for each block and range.
+3. The ids go to their block's texts, which are stored in buckets and stay where they are, and are put in the places of
+   the numbers.
+
+Decoding joins ids with the table of token bytes, which is as long as the vocabulary and goes to every task.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsfacts.llm.store import stored
+from newsfacts.llm.store import bucketed, stored
 from newsfacts.llm.text import texts
 from newsfacts.session import ship
 
-PIECE = 1 << 14  # words in a piece of a text
-BLOCK = 1 << 20  # words in a block
-WORDS = 1 << 16  # distinct words in a block, so that a number has two bytes
-BYTES = 1 << 24  # of distinct words in a block
-LONG = 1 << 20  # characters; a longer text is cut as it is read
+PIECE = 1 << 14  # words numbered at a time
+BLOCK = 1 << 22  # words in a block
+WORDS = 1 << 19  # distinct words in a block
+BYTES = 1 << 25  # of distinct words in a block
+LONG = 1 << 20  # characters; the words of a longer text are never all in memory
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,13 +49,18 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    none = len(ranks) << 8
     if n < 64:
         parts = [word[i:i + 1] for i in range(n)]
-        while len(parts) > 1:
-            rank, i = min((ranks.get(a + b, len(ranks) << 8), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == len(ranks) << 8:
-                break
+        pairs = [ranks.get(word[i:i + 2], none) for i in range(n - 1)]
+        while pairs and (rank := min(pairs)) != none:
+            i = pairs.index(rank)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return [ranks[p] for p in parts]
     after, before, alive = [*range(1, n + 1), n], [*range(-1, n)], [True] * n
     heap = [(ranks[word[i:i + 2]], i, i + 2) for i in range(n - 1) if word[i:i + 2] in ranks]
@@ -71,171 +80,165 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i:after[i]]] for i in range(n) if alive[i]]
 
 
-_TABLE = "row long, id long, piece int, last boolean, block long, numbers binary, number int, value "
+_TABLE = "row long, id long, block long, size int, numbers binary, part int, lengths binary, n_bytes int, bytes binary"
 
 
-def _numbered(cut: Callable, kind: pa.DataType):
-    """Pieces (row, id, piece, last, block, numbers) of the texts and the entries (block, number, value) of blocks."""
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, so that the empty high ones cost nothing, compressed."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        row = block = task
-        pieces, numbers, words, size = [], {}, 0, 0
 
-        def flush():
-            n, m = len(pieces), len(numbers)
-            own = list(zip(*pieces)) if pieces else [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-            columns = [pa.concat_arrays([pa.array(c, t), pa.nulls(m, t)]) for c, t in zip(own, types)]
-            columns += [
-                pa.array([block] * (n + m), pa.int64()),
-                pa.concat_arrays([pa.array(own[4], pa.binary()), pa.nulls(m, pa.binary())]),
-                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(range(m), pa.int32())]),
-                pa.concat_arrays([pa.nulls(n, kind), pa.array(
-                    [w.encode() if isinstance(w, str) else w for w in numbers], kind)])]
-            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _TABLE.split(", ")])
+def unpack(packed: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
-        for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                parts = cut(value)
-                part, at = next(parts, []), 0
-                while True:
-                    following = next(parts, None)
-                    if words + len(part) > BLOCK or len(numbers) + len(part) > WORDS or size > BYTES:
-                        yield flush()
-                        pieces, numbers, words, size = [], {}, 0, 0
-                        block += 1
-                    before = len(numbers)
-                    code = np.array([numbers.setdefault(w, len(numbers)) for w in part], np.uint16)
-                    if kind == pa.binary():
-                        size += sum(len(w) for w in islice(reversed(numbers), len(numbers) - before))
-                    pieces.append((row, key, at, following is None, code.tobytes()))
-                    words, at = words + len(part), at + 1
-                    if following is None:
-                        break
-                    part = following
-                row += 1
-        if pieces:
-            yield flush()
 
-    return run
+def pack_values(values: list[bytes]) -> tuple[bytes, int, bytes]:
+    """Lengths, size and compressed bytes of values end to end."""
+    blob = b"".join(values)
+    return pack(np.array([len(v) for v in values])), len(blob), pa.compress(blob, "zstd", asbytes=True)
 
 
-def _pretokens(pattern: str):
-    import regex
+def unpack_values(lengths: bytes, n_bytes: int, packed: bytes, size: int) -> list[bytes]:
+    ends = np.cumsum(unpack(lengths, size)).tolist()
+    blob = pa.decompress(packed, n_bytes, "zstd", asbytes=True)
+    return [blob[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
-    compiled = regex.compile(pattern)
 
-    def cut(text: bytes) -> Iterator[list[str]]:
-        text = text.decode("utf-8", "replace")
-        if len(text) > LONG:
-            found = (m[0] for m in compiled.finditer(text))
-            while part := list(islice(found, PIECE)):
-                yield part
-        else:
-            words = compiled.findall(text)
-            for i in range(0, len(words), PIECE):
-                yield words[i:i + PIECE]
-
-    return cut
+def _numbered(pattern: str, distinct: int, ranges: int):
+    """A row (row, id, size, numbers) a text, and rows (part, size, numbers, values) for the words of their blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-def _ids(ids: bytes) -> Iterator[list[int]]:
-    numbers = np.frombuffer(ids, "<u4")
-    for i in range(0, len(numbers), PIECE):
-        yield numbers[i:i + PIECE].tolist()
+        compiled = regex.compile(pattern)
+        row = block = TaskContext.get().partitionId() << 32
+        rows, numbers, words, size = [], {}, 0, 0
 
+        def flush():
+            words = [w.encode() for w in numbers]
+            part = np.array([crc32(w) for w in words], np.int64) % ranges
+            order = np.argsort(part, kind="stable")
+            entries = []
+            for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if words else ():
+                entries.append((len(at), pack(np.diff(at, prepend=0)), int(part[at[0]]),
+                                *pack_values([words[i] for i in at.tolist()])))
+            table = [(row, key, block, size, code) + (None,) * 4 for row, key, size, code in rows]
+            table += [(None, None, block, *entry) for entry in entries]
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32(),
+                     pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*table), types)],
+                                              names=[c.split()[0] for c in _TABLE.split(", ")])
 
-def _encoded(ranks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(0)
-            ids = [np.array(encode_word(w, ranks.value), "<u4").tobytes() for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], names=["value", "bytes"])
+            for key, value in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
+                text = value.decode("utf-8", "replace")
+                if rows and (words > BLOCK or len(numbers) > distinct or size > BYTES
+                             or len(text) > LONG and words + len(text) > BLOCK):
+                    yield flush()
+                    rows, numbers, words, size = [], {}, 0, 0
+                    block += 1
+                found = (m[0] for m in compiled.finditer(text)) if len(text) > LONG else iter(compiled.findall(text))
+                codes, before = [], len(numbers)
+                while part := list(islice(found, PIECE)):
+                    codes.append(np.array([numbers.setdefault(w, len(numbers)) for w in part], np.uint32))
+                code = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+                size += sum(len(w) for w in islice(reversed(numbers), len(numbers) - before))
+                rows.append((row, key, len(code), pack(code)))
+                words, row = words + len(code), row + 1
+        if rows:
+            yield flush()
 
     return run
 
 
-_OUT = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("piece", pa.int32()), ("last", pa.bool_()),
-                  ("bytes", pa.binary())])
+_ENTRY = ["block", "size", "numbers", "lengths", "n_bytes", "bytes"]
 
 
-def _reassembled(pieces: pa.Table, entries: pa.Table) -> pa.Table:
-    """A block's pieces with the bytes of their entries in the order of positions."""
-    values = [b""] * entries.num_rows
-    for number, value in zip(entries.column("number").to_pylist(), entries.column("bytes").to_pylist()):
-        values[number] = value
-    out = [b"".join([values[i] for i in np.frombuffer(numbers, np.uint16).tolist()])
-           for numbers in pieces.column("numbers").to_pylist()]
-    return pa.Table.from_arrays(
-        [pieces.column(c) for c in _OUT.names[:4]] + [pa.array(out, pa.binary())], schema=_OUT)
+def _encoded(ranks):
+    """Entries sorted by part, with the ids of their words in place of the words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["part"] != now:
+                    now, known = row["part"], {}
+                words = unpack_values(row["lengths"], row["n_bytes"], row["bytes"], row["size"])
+                for word in words:
+                    if word not in known:
+                        known[word] = np.array(encode_word(word, ranks.value), "<u4").tobytes()
+                out.append((row["block"], row["size"], row["numbers"], *pack_values([known[w] for w in words])))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=_ENTRY)
 
-def _joined(pieces: pa.Table) -> pa.Table:
-    """The pieces of one text as one row."""
-    pieces = pieces.sort_by("piece")
-    return pa.Table.from_pydict({
-        "row": pieces.column("row").to_pylist()[:1], "id": pieces.column("id").to_pylist()[:1],
-        "bytes": [b"".join(pieces.column("bytes").to_pylist())]},
-        schema=pa.schema([("row", pa.int64()), ("id", pa.int64()), ("bytes", pa.binary())]))
+    return run
 
 
-def _whole(table: DataFrame, entries: DataFrame) -> DataFrame:
-    """(row, id, bytes): entries (block, number, bytes) put in the places of their numbers."""
-    pieces = table.filter("row is not null").select("row", "id", "piece", "last", "block", "numbers")
-    entries = entries.select(F.col("block").alias("of"), "number", "bytes")
-    out = stored(pieces.groupBy("block").cogroup(entries.groupBy("of")).applyInArrow(
-        _reassembled, "row long, id long, piece int, last boolean, bytes binary"), "bpe-pieces", "zstd")
-    single = out.filter("last and piece = 0").select("row", "id", "bytes")
-    several = out.filter("not last or piece > 0").select("row", "id", "piece", "bytes")
-    return single.unionByName(several.groupBy("row").applyInArrow(_joined, "row long, id long, bytes binary"))
+def _placed(rows: pa.Table, entries: pa.Table) -> pa.Table:
+    """A block's texts as the ids of their words in the order of positions."""
+    ids = [b""] * sum(entries.column("size").to_pylist())
+    for row in entries.to_pylist():
+        values = unpack_values(row["lengths"], row["n_bytes"], row["bytes"], row["size"])
+        for number, value in zip(np.cumsum(unpack(row["numbers"], row["size"])).tolist(), values):
+            ids[number] = value
+    out = [b"".join([ids[i] for i in unpack(numbers, size).tolist()])
+           for numbers, size in zip(rows.column("numbers").to_pylist(), rows.column("size").to_pylist())]
+    return pa.table({"row": rows.column("row"), "id": rows.column("id"), "ids": pa.array(out, pa.binary())})
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", distinct: int = WORDS) -> DataFrame:
     """(row, id, n_tokens, ids): one row per row of ``docs``, ``row`` being a number of its own.
 
     ``ids`` are little-endian unsigned 32-bit integers in one binary value. Null and empty texts have none. Texts of
-    any length are taken whole: they are worked on in pieces of bounded length and put together last. Repeated rows
-    and equal ids stay rows of their own, null ids stay null. An empty table gives no rows. Extra columns are not read.
-    ``ranks`` goes to all executors; its size is the vocabulary's. All 256 single bytes must be in it.
+    any length are taken whole, each by one task, in memory that grows with its own length only. Repeated rows and equal
+    ids stay rows of their own, null ids stay null. An empty table gives no rows. Extra columns are not read.
+    ``ranks`` goes to all executors; its size is the vocabulary's. All 256 single bytes must be in it. A block numbers
+    at most ``distinct`` words and those of one text.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = stored(rows.mapInArrow(_lazily(_pretokens, pattern, pa.binary()), _TABLE + "binary"), "bpe-words", "zstd")
-    words = table.filter("value is not null").select("block", "number", "value")
-    distinct = stored(words.select("value").distinct().mapInArrow(
-        _encoded(spark.sparkContext.broadcast(ranks)), "value binary, bytes binary"), "bpe-distinct")
-    entries = words.join(distinct, "value").select("block", "number", "bytes")
-    return _whole(table, entries).select(
-        "row", F.col("id").alias(id_col), (F.octet_length("bytes") / 4).cast("long").alias("n_tokens"),
-        F.col("bytes").alias("ids"))
-
-
-def _lazily(make: Callable, argument, kind: pa.DataType):
-    """Compile the pattern in the task, as a compiled one is not sent."""
-
+    ranges = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = bucketed(rows.mapInArrow(_numbered(pattern, distinct, ranges), _TABLE), "bpe-words", "block", "zstd")
+    words = table.filter("part is not null").select("part", *_ENTRY).repartition("part").sortWithinPartitions("part")
+    entries = stored(words.mapInArrow(
+        _encoded(spark.sparkContext.broadcast(ranks)),
+        "block long, size int, numbers binary, lengths binary, n_bytes int, bytes binary"), "bpe-entries")
+    of_block = table.filter("row is not null").select("row", "id", "size", "numbers", "block").groupBy("block")
+    whole = of_block.cogroup(entries.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(
+        _placed, "row long, id long, ids binary")
+    return whole.select(
+        "row", F.col("id").alias(id_col), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+def _bytes(tokens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _numbered(make(argument), kind)(batches)
+        table = tokens.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):  # little at a time, as texts may be long
+                part = batch.slice(i, 64)
+                out = [b"".join([table.get(n, b"") for n in np.frombuffer(ids or b"", "<u4").tolist()])
+                       for ids in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.binary())],
+                                                 names=[*part.schema.names[1:], "bytes"])
 
     return run
 
 
-def token_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
-    """(value, bytes): the bytes of each token id; as long as the vocabulary."""
-    return spark.createDataFrame([(n, bytearray(t)) for t, n in ranks.items()], "value int, bytes binary")
+def decode(encoded: DataFrame, ranks: dict[bytes, int], keep: list[str], ids_col: str = "ids") -> DataFrame:
+    """Columns ``keep`` of ``encoded`` and ``bytes``, what the ids stand for, one row per row.
 
-
-def decode(encoded: DataFrame, tokens: DataFrame, id_col: str = "row", ids_col: str = "ids") -> DataFrame:
-    """(id, bytes): the bytes that the ids stand for, one row per row of ``encoded``.
-
-    ``ids_col`` holds little-endian unsigned 32-bit integers; null or none give no bytes. ``tokens`` is a table
-    (value, bytes); an id that it lacks gives no bytes. An empty table gives no rows.
+    ``ids_col`` holds little-endian unsigned 32-bit integers; null or none give no bytes, nor does an id that is not in
+    ``ranks``. No rows move: the table of token bytes, of the vocabulary's size, goes to all executors.
     """
-    ship(encoded.sparkSession)
-    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    table = stored(rows.mapInArrow(_numbered(_ids, pa.int32()), _TABLE + "int"), "bpe-ids", "zstd")
-    entries = table.filter("value is not null").select("block", "number", "value").join(tokens, "value").select(
-        "block", "number", "bytes")
-    return _whole(table, entries).select(F.col("id").alias(id_col), "bytes")
+    spark = encoded.sparkSession
+    ship(spark)
+    tokens = spark.sparkContext.broadcast({n: t for t, n in ranks.items()})
+    rows = encoded.select(F.col(ids_col).alias("_ids"), *keep)
+    schema = ", ".join(["`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString()
+                        for f in encoded.select(*keep).schema.fields] + ["bytes binary"])
+    return rows.mapInArrow(_bytes(tokens), schema)

@@ -16,7 +16,6 @@ from newsfacts.llm.mixing import draws
 from newsfacts.llm.ngram_join import Similarity, jaccard_join
 from newsfacts.llm.runs import periodic_runs
 from newsfacts.llm.sharding import shard
-from newsfacts.llm.store import stored
 from newsfacts.llm.suffixes import repeated_passages
 from newsfacts.llm.vector_codes import compress
 from newsfacts.llm.warc import archive_and_index
@@ -313,9 +312,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = stored(
-        byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), "bpe-ids", "zstd")
-    decoded = byte_bpe.decode(encoded, byte_bpe.token_table(spark, ranks)).select(
-        "row", F.sha2("bytes", 256).alias("decoded_sha256"))
-    return encoded.select("row", "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256")).join(
-        decoded, "row").drop("row")
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumn(
+        "ids_sha256", F.sha2("ids", 256))
+    return byte_bpe.decode(encoded, ranks, ["doc_id", "n_tokens", "ids_sha256"]).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

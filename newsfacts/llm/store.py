@@ -6,7 +6,7 @@ import gc
 
 from pyspark.sql import DataFrame
 
-from newsfacts.session import new_path, written
+from newsfacts.session import new_path
 
 
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
@@ -16,13 +16,24 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     them when the driver's garbage is collected, which may be long after; so collect it here.
     """
     spark = df.sparkSession
-    if codec:
-        path = new_path(spark, name)
-        df.write.parquet(path, compression=codec)
-        out = spark.read.parquet(path)
-    else:
-        out = written(df, name)
+    path = new_path(spark, name)
+    df.write.parquet(path, **({"compression": codec} if codec else {}))
+    out = spark.read.parquet(path)
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
+
+
+def bucketed(df: DataFrame, name: str, column: str, codec: str) -> DataFrame:
+    """Write a step in buckets of ``column``, so that grouping by it later moves no rows, and read it back.
+
+    There are as many buckets as the session has shuffle partitions. The table lies in the shared folder and is known to
+    the session's catalog.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option(
+        "compression", codec).format("parquet").saveAsTable(table)
+    return spark.table(table)
