@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsfacts.catalog.prelude import PRELUDE
+from newsfacts.operators.postings import TextIndex, write_index
 from newsfacts.plans.marts import Marts, refresh_marts, write_content
 from newsfacts.session import new_path
 from newsfacts.sources.star import NewsTables
@@ -29,6 +30,10 @@ class Context(NewsTables):
     def stored_contents(self) -> DataFrame:
         return write_content(self.contents, new_path(self.spark, "contents"))
 
+    @cached_property
+    def text_index(self) -> TextIndex:
+        return write_index(self.stored_contents, new_path(self.spark, "index"))
+
 
 _CONTEXTS: dict[tuple[str, str], Context] = {}
 

@@ -205,7 +205,7 @@ def _(c):
 SELECT content_id, count(*) AS n FROM fx_api JOIN fx_terms t ON content_id = t.id
 WHERE list_contains(content_terms, 'ing') AND NOT list_contains(content_terms, 'ere') GROUP BY content_id""")
 def _(c):
-    hits = FactFilter(ts="ing & !ere").apply(c.marts.fact_api, c.stored_contents)
+    hits = FactFilter(ts="ing & !ere").apply(c.marts.fact_api, c.text_index)
     return hits.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -216,7 +216,17 @@ WHERE token_text LIKE '% ing the %' AND token_text LIKE '% ing %'
 GROUP BY content_id""")
 def _(c):
     flt = FactFilter(ts="ing <-> the & ing | vielleicht | ando")
-    hits = flt.apply(c.marts.fact_api, c.stored_contents)
+    hits = flt.apply(c.marts.fact_api, c.text_index)
+    return hits.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("filter_fulltext_prefix", """
+SELECT content_id, count(*) AS n FROM fx_api JOIN fx_terms t ON content_id = t.id
+WHERE (contains(token_text, ' and') OR contains(token_text, ' ing the ')) AND NOT contains(token_text, ' ver')
+GROUP BY content_id""")
+def _(c):
+    """Parentheses and prefixes over the stored index."""
+    hits = FactFilter(ts="(and:* | ing <-> the) & !ver:*").apply(c.marts.fact_api, c.text_index)
     return hits.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -455,7 +465,7 @@ ORDER BY p.fact LIMIT {{limit}} OFFSET {{offset}}"""
 
 def _url_list(c, flt, limit, offset):
     listed = listing.url_list(
-        flt.apply(c.marts.fact_api, c.stored_contents), c.marts.fact_api_locations,
+        flt.apply(c.marts.fact_api, c.text_index if flt.ts else None), c.marts.fact_api_locations,
         c.analyses.select("gkg_id"), c.stored_contents, c.validation, c.validation_values, limit, offset,
     )
     return listed.select(
