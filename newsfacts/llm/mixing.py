@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsfacts.llm.store import aside
+
 WEIGHTS = (5, 2, 1)
 BLOCKS = 4096  # per source: the first three hexadecimal digits of the permuting hash
 
@@ -89,8 +91,8 @@ def draws(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     see one block of one source.
     """
     spark = docs.sparkSession
-    added = ("size", "source_size", "target", "shards", "_key", "_block", "_source", "_none")
-    kept = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    added = ("size", "source_size", "target", "shards")
+    kept, back = aside(docs.drop(*[c for c in docs.columns if c.lower() in added]), [id_col, source_col, text_col])
     none = [F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source")]
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     rows = kept.select("*", *none, words(F.col(text_col)).alias("size"), key.alias("_key")).withColumn(
@@ -136,16 +138,18 @@ def draws(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
         .select(*kept.columns, "size", "source_size", "target",
                 F.when(taken > 0, F.slice("dealt", F.lit(1), taken)).otherwise(
                     F.array().cast("array<int>")).alias("shards"))
+        .withColumnsRenamed(back)
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with one row per taken copy, ``copy`` from 1, ``mix_shard`` and ``mix_key``.
 
-    Options and cases as for ``draws``. Ordering a shard's rows by ``mix_key`` is its local shuffle.
+    Input columns of these names, or of those that ``draws`` adds, are replaced. Options and cases as for ``draws``. Ordering a shard's rows by ``mix_key`` is its local shuffle.
     """
     seed, id_col = options.get("seed", 1), options.get("id_col", "doc_id")
-    columns = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "shards")]
+    added = ("size", "source_size", "target", "shards", "copy", "mix_shard", "mix_key")
+    columns = [c for c in docs.columns if c.lower() not in added]
     return draws(docs, **options).select(*columns, F.posexplode("shards").alias("copy", "mix_shard")).withColumn(
         "copy", F.col("copy") + 1).withColumn(
         "mix_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")))

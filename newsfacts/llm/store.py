@@ -37,3 +37,9 @@ def bucketed(df: DataFrame, name: str, column: str, codec: str) -> DataFrame:
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option(
         "compression", codec).format("parquet").saveAsTable(table)
     return spark.table(table)
+
+
+def aside(df: DataFrame, read: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Columns that an operator does not read, under names that none uses; and how to rename them back."""
+    back = {f"aside {i}": c for i, c in enumerate(df.columns) if c not in read}
+    return df.withColumnsRenamed({c: name for name, c in back.items()}), back

@@ -7,6 +7,10 @@ compared with its neighbour, and the match is extended to the left and to the ri
 the order of the words before, as the longest match to the left may stand elsewhere. Matches of 50
 words or more are repeated passages; those of one text that overlap are one.
 
+Where three or more suffixes share a gram, a pair may match neither's neighbours in full: others with longer matches on
+one side stand between them in either order. There each window of 50 words over such a gram is met by the first equal
+one. So every window of 50 words that occurs twice is in a passage.
+
 Before any words move, suffixes that cannot match are left out: in a match of 50 words a kept suffix has 31
 equal words to the right or 20 to the left of its gram, so one of two hashes must occur twice.
 """
@@ -106,6 +110,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["gram", "after", "before", "h", "pos"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(window, h, begin): the hashes of all windows of 50 words that hold the grams at given places of a text."""
+    for batch in batches:
+        hs, places, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))
+        for lo, hi in groups(parts):
+            words = Words(parts[lo:hi], UNBLANK)
+            for i in range(hi - lo):
+                h = words.hash[words.first[i]:words.first[i + 1]]
+                begin = (np.array(places[lo + i], np.int64)[:, None] - np.arange(WINDOW)).ravel()
+                begin = np.unique(begin[(begin >= 0) & (begin <= len(h) - LEAST)])
+                if len(begin):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(grams(h, LEAST)[begin].view(np.int64)), pa.array(np.full(len(begin), hs[lo + i])),
+                        pa.array(begin)], names=["window", "h", "begin"])
+
+
 def _neighbours(gram, after, before, h, pos):
     """Matches of successive rows, each seen from both sides: (h, begin, end, other)."""
     same = np.flatnonzero((gram[1:] == gram[:-1]))
@@ -172,7 +192,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``begin`` and ``end`` count words from 0; words are runs of bytes that are not blank, A-Z lower-cased.
     ``others`` lists the smallest ids of the texts that the passage's suffixes met as neighbours in either
-    order, which include at least one other text or another place of the same text for every passage.
+    order, or its windows as the first equal ones, which include at least one other text or another place of the same text for every passage.
     Equal texts of at least 50 words are one passage over the whole text, whose ``others`` is the smallest other
     id of the group for the first, and the first for the rest; rows that repeat an id are equal texts or not
     like any others. Null, empty and short texts have no passages, and a text without any is not in the
@@ -202,13 +222,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids = stored(rows.groupBy("h").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(F.coalesce("id", F.lit(2**62)).alias("key"))).alias("low")), "suffix-ids")
-    # One row for each text: the copy with the smallest id.
-    chosen = ids.select("h", F.col("low.key").alias("key")).join(likely, "h")
     keyed = rows.select("h", F.coalesce("id", F.lit(2**62)).alias("key"), "text")
-    some = chosen.join(keyed.hint("merge"), ["h", "key"]).select("h", "places", "text").dropDuplicates(["h"])
-    order = ["gram", "after", "h", "pos"]
+
+    def with_text(places: DataFrame) -> DataFrame:
+        """One row for each text: the copy with the smallest id."""
+        chosen = ids.select("h", F.col("low.key").alias("key")).join(places, "h")
+        return chosen.join(keyed.hint("merge"), ["h", "key"]).select("h", "places", "text").dropDuplicates(["h"])
+
     contexts = stored(
-        some.mapInArrow(_contexts, "gram long, after binary, before binary, h long, pos long"), "suffix-contexts")
+        with_text(likely).mapInArrow(_contexts, "gram long, after binary, before binary, h long, pos long"),
+        "suffix-contexts")
     matches = None
     for order in (["gram", "after", "h", "pos"], ["gram", "before", "h", "pos"]):
         ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -224,6 +247,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             spark.createDataFrame(across, "h long, begin long, end long, other long"))
         matches = inside if matches is None else matches.union(inside)
 
+    crowded = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).filter("f > 2").select("gram")
+    places = contexts.select("gram", "h", "pos").join(crowded, "gram", "left_semi").groupBy("h").agg(
+        F.collect_list("pos").alias("places"))
+    windows = stored(with_text(places).mapInArrow(_windows, "window long, h long, begin long"), "suffix-windows")
+    place = F.struct("h", "begin")
+    firsts = windows.groupBy("window").agg(
+        F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
+    met = windows.join(firsts, "window").select(
+        "h", "begin", (F.col("begin") + LEAST).alias("end"),
+        F.when(place == F.col("low"), F.col("high.h")).otherwise(F.col("low.h")).alias("other"))
+    matches = matches.union(met)
+
     by_text = Window.partitionBy("h").orderBy("begin", "end", "other")
     reach = F.max("end").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.when(reach.isNull() | (F.col("begin") > reach), 1).otherwise(0)
@@ -232,7 +267,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         named.withColumn("opened", opened).withColumn("passage", F.sum("opened").over(by_text))
         .groupBy("h", "passage").agg(
             F.min("begin").alias("begin"), F.max("end").alias("end"),
-            F.array_sort(F.collect_set("other_id")).alias("others"))  # at most four a kept suffix
+            F.array_sort(F.collect_set("other_id")).alias("others"))  # at most four a kept suffix and one a window
         .drop("passage")
     )
     whole = (

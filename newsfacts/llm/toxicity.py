@@ -204,6 +204,8 @@ def _fit(fit: Fit):
             labels += batch.column(0).to_pylist()
             own += [np.frombuffer(x, np.int32) for x in batch.column(1).to_pylist()]
             other += [None if x is None else np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
+        order = sorted(range(len(labels)), key=lambda i: (own[i].tobytes(), labels[i]))  # rows come in any order
+        labels, own, other = ([x[i] for i in order] for x in (labels, own, other))
         weights = fit_weights(np.array(labels), own, other, fit) if labels else np.zeros(BUCKETS + 1)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()])], names=["weights"])
 
@@ -228,8 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, fit: Fit = Fit(), i
     )
     sample = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).join(
         F.broadcast(chosen), id_col)  # at most fit.sample ids
-    rows = sample.select("label", "text").mapInArrow(
-        _sample_features, "label int, own binary, other binary").coalesce(1).mapInArrow(_fit(fit), "weights binary")
+    # Features are made where the texts are; one task gets those of the sample only.
+    features_ = sample.select("label", "text").mapInArrow(_sample_features, "label int, own binary, other binary")
+    rows = features_.repartition(1).mapInArrow(_fit(fit), "weights binary")
     return np.frombuffer(rows.first()["weights"], np.float32)
 
 
@@ -243,20 +246,24 @@ def _scores(weights):
                 z.append(np.bincount(owner, w[bucket], hi - lo))
             z = np.concatenate(z) + w[-1] if z else np.zeros(0)
             score = 1 / (1 + np.exp(-np.clip(z.astype(float), -500, 500)))
-            names = [*batch.schema.names[1:], "score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64())], names=names)
+            columns = [*batch.columns[1:], pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``, 0 to 1, one row per row.
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text",
+          score_col: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and ``score_col``, 0 to 1, one row per row.
 
-    Null and empty texts have no features and get the score of the constant. Equal texts have equal scores.
-    Of the input only the text is used for a score.
+    Null and empty texts have no features and get the score of the constant. Equal texts have equal scores; a very
+    long text is scored whole by one task. Of the input only the text is used for a score. A kept column named like
+    ``score_col`` is replaced.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("_text"), *keep)
-    schema = ", ".join(["`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString()
-                        for f in docs.select(*keep).schema.fields] + ["score double"])
-    return rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(weights)), schema)
+    keep = [c for c in keep if c.lower() != score_col.lower()]
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
+    rows = docs.select(F.col(text_col), *columns).toDF("text", *[f"c{i}" for i in range(len(keep))])
+    kinds = [f.dataType.simpleString() for f in rows.schema.fields[1:]] + ["double"]
+    schema = ", ".join(f"c{i} {kind}" for i, kind in enumerate(kinds))
+    return rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(weights)), schema).toDF(*keep, score_col)

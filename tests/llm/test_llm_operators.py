@@ -139,6 +139,45 @@ def test_repeated_passages(docs, hard, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_passages_whose_neighbours_match_less(spark):
+    """Pairs that share 51 words, with others between them in both orders that share more on one side only."""
+    rng = np.random.default_rng(8)
+
+    def some(n):
+        return [f"u{x}" for x in rng.integers(0, 10**9, n)]
+
+    rows, pairs = [], 0
+    while pairs < 45:
+        shared = some(51)
+        at = suffixes.minimisers(suffixes.grams(suffixes.Words([" ".join(shared).encode()], suffixes.UNBLANK).hash, 12))
+        if len(at) != 1 or not 14 <= at[0] <= 26:
+            continue
+        k = int(at[0])
+        for part in (shared, shared, shared[k:k + 49] + some(2), shared[k:k + 49] + some(2), shared[:k + 12], shared[:k + 12]):
+            rows.append((len(rows), " ".join(some(20) + part + some(20))))
+        pairs += 1
+    got = collections.Counter()
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] += r["n_words"]
+    assert got == brute_passages(rows) and len(got) == 90
+
+
+def test_passages_of_generated_chains(spark):
+    rng = np.random.default_rng(2)
+    base = [[f"b{k}w{i}" for i in range(140)] for k in range(6)]
+    rows = []
+    for i in range(80):  # texts made of pieces that several texts share, of 30 to 140 words
+        words_ = []
+        for _ in range(4):
+            k, lo = rng.integers(0, 6), rng.integers(0, 110)
+            words_ += base[k][lo:lo + rng.integers(30, 141)] + [f"own{i}x{rng.integers(10**9)}"]
+        rows.append((i, " ".join(words_)))
+    got = collections.Counter()
+    for r in suffixes.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] += r["n_words"]
+    assert got == brute_passages(rows)
+
+
 # Lines
 
 
@@ -185,6 +224,23 @@ def test_identity_terms_weigh_alike():
     assert toxicity.swapped(b"nothing here") is None
 
 
+def test_toxicity_scores_from_given_weights(spark, hard):
+    """Scores against a plain sum over words and their beginnings."""
+    rng = np.random.default_rng(3)
+    weights = np.append(rng.normal(size=toxicity.BUCKETS), -0.5).astype(np.float32)
+    got = sorted((str(r["text"]), round(r["toxic"], 4), r["score"]) for r in toxicity.score(
+        hard, weights, ["text", "score"], score_col="toxic").collect())
+    want = []
+    for r in hard.collect():
+        own = set()
+        for w in set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r["text"] or "").encode())):
+            own.update(toxicity.features([w])[1].tolist())
+        z = float(sum(weights[sorted(own)].astype(float)) + weights[-1])
+        want.append((str(r["text"]), 1 / (1 + math.exp(-max(-500, min(500, z)))), r["score"]))
+    assert [g[::2] for g in got] == [w[::2] for w in sorted(want)]
+    assert np.allclose([g[1] for g in got], [w[1] for w in sorted(want)], atol=1e-3)
+
+
 def test_toxicity_of_hard_rows(spark, hard, empty):
     labels = spark.createDataFrame([(5, 1), (5, None), (8, 0), (None, 1), (99, 1)], "doc_id long, toxic int")
     weights = toxicity.train(hard, labels, F.lit(True))
@@ -330,6 +386,17 @@ def test_mixture(hard, empty):
     assert mixing.draws(empty).count() == 0
 
 
+def test_mixture_keeps_columns_named_like_its_own(spark, hard):
+    names = ["before", "full", "rest", "dealt", "start", "copy", "mix_key", "_key", "_block", "n", "place", "ends"]
+    clash = hard.drop("size", "start", "copy", "n").withColumns({c: F.lit(c) for c in names})
+    plain = sorted((str(r["doc_id"]), str(r["text"]), r["shards"]) for r in mixing.draws(hard).collect())
+    out = mixing.draws(clash).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["shards"]) for r in out) == plain
+    assert all(r[c] == c for r in out for c in names)
+    mixed = mixing.mix(clash)
+    assert len(set(mixed.columns)) == len(mixed.columns) and mixed.filter("before <> 'before' or copy < 1").count() == 0
+
+
 def test_splitting_tree_keeps_quotas():
     parts = mixing.split_blocks([400, 70, 0, 130], 6, 5)
     assert parts.sum(axis=1).tolist() == [400, 70, 0, 130] and parts.sum(axis=0).tolist() == [100] * 6

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from newsfacts.llm import mixing, toxicity
@@ -82,3 +83,13 @@ def test_stages_on_hard_rows(spark, hard):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, SF), "test-hard")
     assert docs.count() > 0
+
+
+def test_stages_keep_columns_named_like_their_own(spark, steps):
+    names = ["score", "_text", "_key", "component_id", "before", "copy", "id", "h", "start"]
+    docs = steps[0][0].limit(60).withColumns({c: F.lit(c) for c in names})
+    plain = steps[0][0].limit(60)
+    for _, stage in corpus_pipeline.STAGES:
+        docs, plain = (corpus_pipeline.stored(stage(spark, d, SF), "test-clash") for d in (docs, plain))
+        assert sorted(map(str, docs.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r[c] == c for r in docs.select(names).collect() for c in names)
