@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsfacts.llm import decontaminate, mixing, ngram_join, sharding, toxicity
 from newsfacts.llm.queries import remainder
-from newsfacts.llm.store import stored
+from newsfacts.llm.store import aside, stored
+
+#: Columns of documents.
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _guarded(stage):
+    """The stage with columns beyond those of documents under names that no operator uses, and named back after it.
+
+    A column that the stage adds replaces one of its name.
+    """
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        renamed, back = aside(docs, DOCUMENT)
+        out = stage(spark, renamed, sf_dir)
+        added = {c.lower() for c in out.columns} - set(back)
+        gone = [name for name, c in back.items() if c.lower() in added]
+        return out.drop(*gone).withColumnsRenamed({name: c for name, c in back.items() if name not in gone})
+
+    return run_stage
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -16,6 +38,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), made))
 
 
+@_guarded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.3. Learns from labelled rows that op5 learns from."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, weights, docs.columns).filter("score < 0.3").select(docs.columns)
 
 
+@_guarded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 over five words, the document with the smallest id.
 
@@ -41,6 +65,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return kept.select(docs.columns)
 
 
+@_guarded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of a benchmark item (no whole item, if it has fewer)."""
     keyed = _keyed(docs)
@@ -49,11 +74,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return keyed.join(hit, "_key", "left_anti").select(docs.columns)
 
 
+@_guarded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources to their targets; a document that is taken twice comes twice."""
     return mixing.mix(docs).select(docs.columns)
 
 
+@_guarded
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with shard and slot; copies of a document share a shard."""
     return sharding.shard(docs, 8)
