@@ -10,6 +10,9 @@ from newsfacts.functions import dates
 from newsfacts.functions import lexicon as lx
 from newsfacts.functions import text as tx
 from newsfacts.operators import extract as ex
+from newsfacts.plans import marts
+from newsfacts.session import new_path, written
+from newsfacts.sources import fact_store
 
 LEXICON = lx.Lexicon()
 _TOKEN = ex.TOKEN.replace("'", "''")
@@ -230,6 +233,36 @@ def _(c):
     return _facts(c).drop("tag_spans")
 
 
+@parts("stored_facts", "SELECT gkg_id, unit, term, specific_reported_figure, vague_reported_figure, excerpt_end,"
+       " locations AS location_name FROM (" + _FACTS.format(extra="") + ")")
+def _(c):
+    """Facts written in two halves and then all again, read back through the bridges."""
+    path, found = new_path(c.spark, "facts"), written(_facts(c), "found")
+    half = F.pmod(F.xxhash64("gkg_id"), F.lit(2)) == 0
+    for rows in (found.filter(half), found.filter(~half), found):
+        store = fact_store.write_facts_store(rows, path, sentence="fact")
+    named = store.fact_locations.join(
+        store.locations.select(F.col("id").alias("location"), "location_name"), "location").drop("location")
+    return (
+        store.facts.withColumnRenamed("id", "fact").join(store.analysis_facts, "fact").join(named, "fact", "left")
+        .select(F.col("analysis").alias("gkg_id"), "unit", "term", "specific_reported_figure", "vague_reported_figure",
+                "excerpt_end", "location_name"))
+
+
+@parts("stored_fact_api", "SELECT strftime(strptime(CAST(g.date // 1000000 AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS gdelt_day,"
+       " a.category, f.unit, f.term, f.locations AS location_name, count(*) AS n FROM (" + _FACTS.format(extra="")
+       + ") f JOIN fx_analyses a USING (gkg_id) JOIN fx_gkg g ON g.id = f.gkg_id"
+         " WHERE a.category IS NOT NULL AND f.locations IS NOT NULL GROUP BY ALL")
+def _(c):
+    """The read model over stored facts."""
+    store = fact_store.write_facts_store(_facts(c), new_path(c.spark, "facts"), sentence="fact")
+    sets = marts.fact_api_locations(store.fact_locations, store.locations)
+    api = marts.build_fact_api(store.facts, store.analysis_facts, c.analyses, c.gkg, store.fact_locations, sets)
+    places = store.locations.select(F.col("id").alias("location"), "location_name")
+    return api.join(places, "location").groupBy("gdelt_day", "category", "unit", "term", "location_name").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @parts("report_spans", """
 SELECT gkg_id, fact, label AS term,
   'term:' || (position(first_word IN sentence) - 1) || '-' || (position(last_word IN sentence) - 1 + length(last_word))

@@ -173,6 +173,12 @@ def split_fact_by_country(
     return split, pairs
 
 
+def split_article_bridge(split: DataFrame, analysis_facts: DataFrame) -> DataFrame:
+    """(analysis, fact) for the facts of :func:`split_fact_by_country`: a copy belongs to its source's articles."""
+    owners = split.select(F.col("id").alias("_copy"), F.col("source_fact").alias("fact"))
+    return analysis_facts.join(owners, "fact").select("analysis", F.col("_copy").alias("fact"))
+
+
 def assign_fact_iso3(facts: DataFrame, fact_locations: DataFrame, locations: DataFrame) -> DataFrame:
     """The country of facts whose places all lie in one country."""
     countries = (

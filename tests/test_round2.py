@@ -15,6 +15,9 @@ def test_place_without_a_country_is_in_the_unknown_one(spark):
     ids = sorted((r["id"], r["iso3"]) for r in split.collect())
     assert ids == [(1, "FRA"), (2, "DEU"), (3, "XXX")]
     assert sorted((r["fact"], r["location"]) for r in pairs.collect()) == [(1, 10), (3, 11)]
+    bridge = spark.createDataFrame([(70, 1), (71, 1), (72, 2)], "analysis long, fact long")
+    assert sorted((r["analysis"], r["fact"]) for r in geotag.split_article_bridge(split, bridge).collect()) == [
+        (70, 1), (70, 3), (71, 1), (71, 3), (72, 2)]
 
 
 def test_bad_feed_rows_are_skipped_whatever_is_read(spark, tmp_path):
