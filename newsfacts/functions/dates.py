@@ -104,18 +104,14 @@ def parse_date_phrase(phrase: Column, published: Column) -> Column:
 
 
 def roll_back(date: Column, published: Column, phrase: Column) -> Column:
-    """A date after publication is moved to the past: by a year if the phrase names a month, else by
-    whole weeks and the days that keep the day of the week."""
-    pub = published.cast("date")
-    ahead = F.datediff(date, pub)
-    has_month = F.regexp_like(F.lower(phrase), F.lit("|".join(MONTHS)))
-    after = F.when(ahead % 7 == 0, 7).otherwise(ahead % 7)
-    weeks_back = F.date_sub(pub, F.floor(ahead / 7).cast("int") * 7 + 7 - after)
-    return (
-        F.when(pub.isNull() | (ahead <= 0), date)
-        .when(has_month, F.add_months(date, -12))
-        .otherwise(weeks_back)
-    )
+    """A date after publication is moved to the past: by a year if the phrase names a month, else to the same weekday
+    as many begun weeks before publication as it lies whole weeks after it (one more where it lies between two)."""
+    ahead = F.datediff(date, published.cast("date"))
+    weeks = (F.floor(ahead / 7) + F.ceil(ahead / 7)).cast("int")
+    moved = F.when(
+        F.regexp_like(F.lower(phrase), F.lit("|".join(MONTHS))), F.add_months(date, -12)
+    ).otherwise(F.date_sub(date, weeks * 7))
+    return F.when(ahead > 0, moved).otherwise(date)
 
 
 def resolve_relative_date(phrase: Column, published: Column) -> Column:

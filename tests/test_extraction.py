@@ -15,11 +15,11 @@ PLACES = ["Bosnia", "London", "Middlesex", "Nigeria", "Guinea", "Guinea-Bissau"]
 SENTENCES = {
     "houses": "Late on Monday a river burst its banks near the town and washed away more than 500 houses",
     "refugees": "Late on Monday armed men came to the camp and forced more than 20000 refugees to flee.",
-    "evicted": "1500 people have been evicted from their homes in Bosnia",
-    "eviction": "announced eviction for 1500 people from their homes in Bosnia",
-    "forced eviction": "announced forced eviction for 1500 people from their homes in Bosnia",
-    "forcibly": "1500 people were forcibly evicted from their homes in Bosnia",
-    "sacked": "this month 1500 people have been sacked from their homes in Nigeria",
+    "evicted": "The landlord won in court, and 820 people were evicted across Bosnia before spring",
+    "eviction": "Officials in Bosnia signed an eviction order against 640 people",
+    "forced eviction": "Campaigners in Bosnia condemned the forced eviction of 275 people",
+    "forcibly": "Soldiers in Bosnia forcibly evicted 910 people on Sunday night",
+    "sacked": "A mining firm in Nigeria sacked 3300 people before the rains",
     "two places": "Late on Monday a river covered large parts of London and Middlesex and washed away more "
                   "than 500 houses",
     "far figure": "2000 mostly elderly and very poor rural farming villagers were displaced",
@@ -51,11 +51,11 @@ def facts(spark):
 
 @pytest.mark.parametrize("name,unit,term,figure,places", [
     ("houses", "Household", "Displaced", 500, None),
-    ("evicted", "Person", "Evicted", 1500, ["Bosnia"]),
-    ("eviction", "Person", "Evicted", 1500, ["Bosnia"]),
-    ("forced eviction", "Person", "Evicted", 1500, ["Bosnia"]),
-    ("forcibly", "Person", "Evicted", 1500, ["Bosnia"]),
-    ("sacked", "Person", "Sacked", 1500, ["Nigeria"]),
+    ("evicted", "Person", "Evicted", 820, ["Bosnia"]),
+    ("eviction", "Person", "Evicted", 640, ["Bosnia"]),
+    ("forced eviction", "Person", "Evicted", 275, ["Bosnia"]),
+    ("forcibly", "Person", "Evicted", 910, ["Bosnia"]),
+    ("sacked", "Person", "Sacked", 3300, ["Nigeria"]),
     ("two places", "Household", "Displaced", 500, ["London", "Middlesex"]),
     ("number only", "Person", "Displaced", 300, None),
     ("affected", "Household", "Displaced", 40, None),
@@ -191,3 +191,12 @@ def test_date_phrases(spark, phrase, want):
 def test_numbers(spark, token, like, value):
     d = spark.createDataFrame([(token,)], "t string")
     assert d.select(lx.number_like(F.col("t")), lx.number_value(F.col("t"))).first() == (like, value)
+
+
+def test_dates_after_publication_keep_their_weekday(spark):
+    days = spark.range(1, 41).select(F.col("id").alias("ahead"), F.to_date(F.lit("2017-03-15")).alias("pub")).select(
+        "ahead", F.datediff(dates.roll_back(
+            F.date_add("pub", F.col("ahead").cast("int")), F.col("pub"), F.lit("friday")), "pub").alias("got"))
+    got = {r["ahead"]: r["got"] for r in days.collect()}
+    assert all(v < 0 and (k - v) % 7 == 0 for k, v in got.items())
+    assert [got[k] for k in (1, 3, 6, 7, 8, 10, 13, 14, 15, 21)] == [-6, -4, -1, -7, -13, -11, -8, -14, -20, -21]
