@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from newsfacts.catalog.base import query
 from newsfacts.catalog.prelude import joined_sql
-from newsfacts.operators import facets, filters, listing
+from newsfacts.operators import facets, filters, listing, saved_filters
 from newsfacts.operators.filters import FactFilter
 from newsfacts.plans import marts
 
@@ -89,18 +91,6 @@ def _(c):
     )
 
 
-@query("refresh_marts", "SELECT 'fact_api' AS mart, count(*) AS n FROM fx_fact_api UNION ALL "
-       "SELECT 'fact_api_locations', count(*) FROM fx_fact_sets")
-def _(c):
-    stored = marts.refresh_marts(c)
-    names = {"fact_api": stored.fact_api, "fact_api_locations": stored.fact_api_locations}
-    counted = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("mart"), "n")
-        for name, df in names.items()
-    ]
-    return counted[0].unionByName(counted[1])
-
-
 _MAP_SQL = """
 SELECT date_trunc('week', CAST(strptime(substr(CAST(g.date AS VARCHAR),1,8),'%Y%m%d') AS DATE)) AS week,
   l.id AS location_id, split_part(latlong, ',', 1) AS latitude, split_part(latlong, ',', 2) AS longitude,
@@ -111,6 +101,56 @@ JOIN fx_gkg g ON a.gkg_id = g.id
 WHERE specific_reported_figure < 100000000 AND category IS NOT NULL GROUP BY ALL"""
 
 
+@query("refresh_marts", f"""
+SELECT 'fact_api' AS mart, count(*) AS n FROM fx_fact_api
+UNION ALL SELECT 'fact_api_locations', count(*) FROM fx_fact_sets
+UNION ALL SELECT 'map_week', count(*) FROM ({_MAP_SQL})""")
+def _(c):
+    return _mart_sizes(marts.refresh_marts(c))
+
+
+def _mart_sizes(stored):
+    names = {"fact_api": stored.fact_api, "fact_api_locations": stored.fact_api_locations,
+             "map_week": stored.map_week}
+    counted = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("mart"), "n")
+        for name, df in names.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+def _refreshed_late(c):
+    """Marts stored while one month's facts were missing, then refreshed by that month's articles."""
+    month = F.substring(F.col("date").cast("string"), 1, 6) == "199703"
+    late = c.gkg.filter(month).select(F.col("id").alias("gkg_id"))
+    early = SimpleNamespace(
+        spark=c.spark, gkg=c.gkg, analyses=c.analyses, facts=c.facts, locations=c.locations,
+        fact_locations=c.fact_locations,
+        analysis_facts=c.analysis_facts.join(late, F.col("analysis") == F.col("gkg_id"), "left_anti"))
+    stored = marts.refresh_marts(early)
+    return marts.refresh_changed(c, stored.path, late)
+
+
+@query("refresh_changed", f"""
+SELECT document_identifier, CAST(gdelt_day AS VARCHAR) AS gdelt_day, fact, unit, term, specific_reported_figure,
+  iso3, location, gkg_id, category, content_id, {joined_sql('location_ids')} AS location_ids
+FROM fx_fact_api JOIN (SELECT fact, location_ids FROM fx_fact_sets) USING (fact)""")
+def _(c):
+    """Ids of sets depend on the order of refreshes, so the members of the set stand for them."""
+    stored = _refreshed_late(c)
+    sets = stored.fact_api_locations.select("location_ids_num", "location_ids").distinct()
+    return stored.fact_api.join(sets, "location_ids_num").select(
+        "document_identifier", "gdelt_day", "fact", "unit", "term", "specific_reported_figure", "iso3", "location",
+        "gkg_id", "category", "content_id", "location_ids")
+
+
+@query("refresh_changed_map", f"""
+SELECT strftime(week, '%Y-%m-%d') AS gdelt_day, location_id, latitude, longitude, category, n AS count
+FROM ({_MAP_SQL})""")
+def _(c):
+    return _refreshed_late(c).map_week
+
+
 @query("map_week", f"""
 SELECT strftime(week, '%Y-%m-%d') AS gdelt_day, location_id, latitude, longitude, category, n AS count
 FROM ({_MAP_SQL})""")
@@ -272,6 +312,53 @@ def _(c):
     )
 
 
+def _saved_filters(c):
+    """A saved filter per supplier, as request texts made from its columns."""
+    key = F.col("s_suppkey")
+    return c.raw("supplier").select(
+        F.concat(F.lit("f"), key.cast("string")).alias("name"),
+        F.when(key % 3 == 0, F.lit("{Conflict,Other}")).when(key % 3 == 1, F.lit("Disaster")).alias("categories"),
+        F.when(key % 4 == 1, F.lit(" {Person} ")).otherwise(F.lit("{}")).alias("units"),
+        F.when(key % 5 < 2, F.concat(F.lit("N"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))).alias("iso3s"),
+        F.when(key % 7 < 3, F.concat(F.lit("{"), key.cast("string"), F.lit(",77,NULL}"))).alias("location_ids"),
+        F.when(key % 2 == 0, F.lit("{20,1,NULL}")).alias("specific_reported_figures"),
+        F.when(key % 6 == 0, F.lit("1997-05-10")).alias("fromdate"),
+        F.when(key % 6 < 2, F.lit("1998-02-03")).alias("todate"))
+
+
+_SAVED_SQL = """
+saved AS (
+  SELECT 'f' || s_suppkey AS name, CASE s_suppkey % 3 WHEN 0 THEN ['Conflict', 'Other'] WHEN 1 THEN ['Disaster'] END AS categories,
+    CASE WHEN s_suppkey % 4 = 1 THEN 'Person' END AS unit,
+    CASE WHEN s_suppkey % 5 < 2 THEN 'N' || lpad(s_nationkey::VARCHAR, 2, '0') END AS iso3,
+    CASE WHEN s_suppkey % 7 < 3 THEN [s_suppkey, 77] END AS places, s_suppkey % 2 = 0 AS ranged,
+    CASE WHEN s_suppkey % 6 = 0 THEN DATE '1997-05-10' END AS a, CASE WHEN s_suppkey % 6 < 2 THEN DATE '1998-02-03' END AS z
+  FROM supplier),
+found AS (
+  SELECT s.name, f.fact, f.location, f.gkg_id FROM fx_fact_api f JOIN saved s ON
+    (s.categories IS NULL OR list_contains(s.categories, f.category)) AND (s.unit IS NULL OR s.unit = f.unit)
+    AND (s.iso3 IS NULL OR s.iso3 = f.iso3) AND (s.places IS NULL OR list_contains(s.places, f.location) OR f.location IS NULL)
+    AND (s.a IS NULL OR f.gdelt_day >= s.a) AND (s.z IS NULL OR f.gdelt_day <= s.z)
+    AND CASE WHEN s.ranged THEN f.specific_reported_figure IS NULL OR f.specific_reported_figure BETWEEN 1 AND 20
+      ELSE f.specific_reported_figure IS NOT NULL END)"""
+
+
+@query("match_saved_filters", f""", {_SAVED_SQL}
+SELECT s.name, false AS refused, count(f.name) AS n FROM saved s LEFT JOIN found f USING (name) GROUP BY s.name""")
+def _(c):
+    """Counts of a whole table of saved filters."""
+    return saved_filters.match_counts(c.marts.fact_api, _saved_filters(c))
+
+
+@query("match_saved_filters_rows", f""", {_SAVED_SQL}
+SELECT name AS filter_name, fact, location, gkg_id FROM found WHERE name IN (
+  SELECT name FROM saved WHERE places IS NOT NULL)""")
+def _(c):
+    """Facts of those saved filters that name places."""
+    placed = _saved_filters(c).filter("location_ids is not null")
+    return saved_filters.match_filters(c.marts.fact_api, placed).select("filter_name", "fact", "location", "gkg_id")
+
+
 _NOW = "1998-06-01 00:00:00"
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsfacts.functions import text as tx
-from newsfacts.operators.keys import rank_by_weight
-from newsfacts.session import new_path
+from newsfacts.operators.keys import number_rows, rank_by_weight
+from newsfacts.session import new_path, written
+from newsfacts.sources.manifests import children, versions
 
 
 def gdelt_day(date: Column) -> Column:
@@ -116,12 +121,7 @@ def map_week(
         .groupBy("gdelt_day", "location", "category")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    places = locations.select(
-        F.col("id").alias("location"),
-        F.split_part("latlong", F.lit(","), F.lit(1)).alias("latitude"),
-        F.split_part("latlong", F.lit(","), F.lit(2)).alias("longitude"),
-    )
-    return counted.join(places, "location").select(
+    return counted.join(_coordinates(locations), "location").select(
         "gdelt_day", F.col("location").alias("location_id"), "latitude", "longitude", "category",
         "count",
     )
@@ -143,49 +143,207 @@ def write_content(contents: DataFrame, path: str) -> DataFrame:
 
 @dataclass
 class Marts:
-    """Stored read model."""
+    """One version of the stored read model. Later refreshes leave its files as they are."""
 
     fact_api: DataFrame
     fact_api_locations: DataFrame
     map_week: DataFrame
     path: str
+    version: int
+
+
+MONTHLY = ("fact_api", "fact_api_locations", "map_week")
+_MANIFEST = "mart string, month string, value string"
+
+
+def _month() -> Column:
+    return F.trunc(gdelt_day(F.col("date")), "month")
+
+
+def _among(months: list[dt.date | None]) -> Column:
+    """Whether the column ``month`` is one of ``months``; None stands for rows without a month."""
+    dated = [m for m in months if m is not None]
+    inside = F.coalesce(F.col("month").isin(dated), F.lit(False)) if dated else F.lit(False)
+    return inside | F.col("month").isNull() if None in months else inside
+
+
+def _read(spark: SparkSession, base: str, folders: list[str], schema: T.StructType) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{f}" for f in folders])
+    return found.select(*schema.names)
+
+
+def _folder_month(folder: str) -> dt.date | None:
+    value = folder.rsplit("month=", 1)[1]
+    return None if value.startswith("__") else dt.date.fromisoformat(value)
+
+
+class _Run:
+    """The files of one refresh. No reader sees them before a manifest names them."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.name = spark, path, f"run=r{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, mart: str, order: list[str]) -> DataFrame:
+        """Store by month; ranges over (month, order) keep a busy month or place from landing in one task."""
+        (
+            df.repartitionByRange("month", *order).sortWithinPartitions("month", *order)
+            .write.partitionBy("month").parquet(f"{self.path}/{mart}/{self.name}")
+        )
+        return _read(self.spark, f"{self.path}/{mart}", self.folders(mart), df.schema)
+
+    def folders(self, mart: str) -> list[str]:
+        names = children(self.spark, f"{self.path}/{mart}/{self.name}")
+        return [f"{self.name}/{n}" for n in names if n.startswith("month=")]
+
+
+def _manifest(spark: SparkSession, path: str, version: int) -> list[tuple[str, str | None, str]]:
+    """What a version is made of: three rows per month and a few more."""
+    rows = spark.read.schema(_MANIFEST).parquet(f"{path}/manifests/{version}").collect()
+    return [tuple(r) for r in rows]
+
+
+def _known_set_ids(sets: DataFrame, known: DataFrame, first: int) -> DataFrame:
+    """Sets that were stored before keep their ids; new ones get the next, in the order of their members."""
+    asked = sets.select("location_ids").distinct()
+    old = known.select("location_ids", "location_ids_num").distinct()
+    new = number_rows(asked.join(old, "location_ids", "left_anti"), ["location_ids"], "location_ids_num", first)
+    return asked.join(old, "location_ids").unionByName(new.select("location_ids", "location_ids_num"))
+
+
+def _refresh(tables, path: str, months: list[dt.date | None] | None) -> Marts:
+    """Write the marts of ``months`` (None: of all) anew and switch to a version that names them."""
+    spark = tables.spark
+    latest = max((n for n, whole in versions(spark, path).items() if whole), default=None)
+    kept, first, known = [], 1, None
+    articles = tables.gkg.withColumn("month", _month())
+    bridge, places, facts = tables.analysis_facts, tables.fact_locations, tables.facts
+    if months is not None:
+        stored = _manifest(spark, path, latest)
+        kept = [r for r in stored if r[0] in MONTHLY and _folder_month(r[2]) not in months]
+        first = next(int(r[2]) for r in stored if r[0] == "next_set")
+        known = _monthly(spark, path, stored, "fact_api_locations")
+        inside = articles.filter(_among(months))
+        if None not in months:
+            bounds = [f"{m:%Y%m}" for m in (min(months), max(months))]
+            inside = inside.filter(F.col("date").between(int(bounds[0] + "01000000"), int(bounds[1] + "31235959")))
+        touched = bridge.join(inside.select(F.col("id").alias("analysis")), "analysis", "left_semi").select("fact")
+        if None in months:
+            dated = bridge.join(articles.select(F.col("id").alias("analysis")), "analysis", "left_semi")
+            touched = touched.union(places.select("fact").join(dated, "fact", "left_anti"))
+        touched = written(touched.distinct(), "touched-facts")
+        bridge, places = (t.join(touched, "fact", "left_semi") for t in (bridge, places))
+        facts = facts.join(touched.select(F.col("fact").alias("id")), "id", "left_semi")
+    else:
+        inside = articles
+
+    run = _Run(spark, path)
+    sets = location_sets(places, tables.locations)
+    ids = location_set_ids(sets) if known is None else _known_set_ids(sets, known, first)
+    # A fact belongs to the first month of its articles. All its articles are looked at, so a fact that is
+    # only touched lies in a folder that the manifest does not take.
+    earliest = bridge.join(articles.select(F.col("id").alias("analysis"), "month"), "analysis").groupBy("fact").agg(
+        F.min("month").alias("month"))
+    sets = run.write(
+        sets.join(ids, "location_ids", "left").join(earliest, "fact", "left").select(
+            "fact", "location_ids", "location_names", "location_ids_num", "month"),
+        "fact_api_locations", ["fact"])
+    api = build_fact_api(facts, bridge, tables.analyses, inside, places, sets.drop("month"))
+    api = run.write(api.withColumn("month", F.trunc("gdelt_day", "month")), "fact_api", ["location", "fact"])
+    # A week may lie in two months: each month stores its part of the week, readers add them up.
+    weeks = run.write(
+        api.filter(F.col("specific_reported_figure") < 100000000)
+        .groupBy(F.date_trunc("week", "gdelt_day").cast("date").alias("gdelt_day"), "location", "category", "month")
+        .agg(F.count(F.lit(1)).alias("count")),
+        "map_week", ["gdelt_day", "location"])
+    _coordinates(tables.locations).write.parquet(f"{path}/places/{run.name}")
+
+    last = sets.agg(F.max("location_ids_num")).first()[0] or 0
+    fresh = [(mart, None, folder) for mart in MONTHLY for folder in run.folders(mart)]
+    rows = kept + [r for r in fresh if months is None or _folder_month(r[2]) in months]
+    rows = [(mart, str(_folder_month(folder)), folder) for mart, _, folder in rows]
+    rows += [("schema", mart, df.schema.json()) for mart, df in zip(MONTHLY, (api, sets, weeks))]
+    rows += [("next_set", None, str(max(first, last + 1))), ("places", None, run.name)]
+    # Last of all, and never over an earlier manifest: of two refreshes at a time, one fails.
+    version = max(versions(spark, path), default=0) + 1
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifests/{version}")
+    return open_marts(spark, path)
+
+
+def _coordinates(locations: DataFrame) -> DataFrame:
+    return locations.select(
+        F.col("id").alias("location"),
+        F.split_part("latlong", F.lit(","), F.lit(1)).alias("latitude"),
+        F.split_part("latlong", F.lit(","), F.lit(2)).alias("longitude"),
+    )
 
 
 def refresh_marts(tables, path: str | None = None) -> Marts:
-    """Recompute and store the marts in dependency order.
+    """Recompute and store all marts as a new version, and switch to it when it is whole.
 
     ``fact_api`` is partitioned by month, by which ``FactFilter`` prunes folders, and sorted by location
-    within files, so location filters skip row groups. Ranges over (month, location, fact) keep a
-    busy month or place from landing in one task.
+    within files, so location filters skip row groups. The week map is counted from the stored ``fact_api``.
+    """
+    return _refresh(tables, path or new_path(tables.spark, "marts"), None)
+
+
+def refresh_changed(tables, path: str, changed: DataFrame) -> Marts:
+    """A new version in which only the months that ``changed`` articles (gkg_id) reach are written anew.
+
+    These are the months the articles are in now or were in before, and those of the other articles of their
+    facts. All other months stay the files they are. Ids of location sets stay too, so new sets sort after old
+    ones. Without changes, or without marts to start from, see :func:`refresh_marts`. Names and coordinates of
+    places that changed by themselves take effect in rebuilt months (names) and everywhere (coordinates).
     """
     spark = tables.spark
-    path = path or new_path(spark, "marts")
-    fact_api_locations(tables.fact_locations, tables.locations).write.mode("overwrite").parquet(
-        f"{path}/fact_api_locations"
-    )
-    sets = spark.read.parquet(f"{path}/fact_api_locations")
-    fact_api = build_fact_api(
-        tables.facts, tables.analysis_facts, tables.analyses, tables.gkg, tables.fact_locations, sets
-    )
-    (
-        fact_api.withColumn("month", F.trunc("gdelt_day", "month"))
-        .repartitionByRange("month", "location", "fact")
-        .sortWithinPartitions("month", "location", "fact")
-        .write.mode("overwrite")
-        .partitionBy("month")
-        .parquet(f"{path}/fact_api")
+    if not any(versions(spark, path).values()):
+        return refresh_marts(tables, path)
+    months = changed_months(tables, path, changed)
+    return _refresh(tables, path, months) if months else open_marts(spark, path)
+
+
+def changed_since(analyses: DataFrame, since: Column) -> DataFrame:
+    """(gkg_id) of the articles updated after ``since``, for :func:`refresh_changed`."""
+    return analyses.filter(F.col("updated") > since).select("gkg_id").distinct()
+
+
+def changed_months(tables, path: str, changed: DataFrame) -> list[dt.date | None]:
+    """Months of the stored or the new marts in which a row of one of these articles can be."""
+    spark = tables.spark
+    latest = max(n for n, whole in versions(spark, path).items() if whole)
+    stored = _manifest(spark, path, latest)
+    ids = changed.select("gkg_id").distinct()
+    bridge = tables.analysis_facts.select("fact", F.col("analysis").alias("gkg_id"))
+    articles = tables.gkg.select(F.col("id").alias("gkg_id"), _month().alias("month"))
+    before = _monthly(spark, path, stored, "fact_api").join(ids, "gkg_id", "left_semi")
+    facts = bridge.join(ids, "gkg_id", "left_semi").select("fact").union(before.select("fact")).distinct()
+    found = (
+        articles.join(ids, "gkg_id", "left_semi").select("month")
+        .union(before.select("month"))
+        .union(_monthly(spark, path, stored, "fact_api_locations").join(facts, "fact", "left_semi").select("month"))
+        .union(facts.join(bridge, "fact", "left").join(articles, "gkg_id", "left").select("month"))
     )
-    map_week(
-        tables.facts, tables.fact_locations, tables.locations, tables.analysis_facts,
-        tables.analyses, tables.gkg,
-    ).write.mode("overwrite").parquet(f"{path}/map_week")
-    return open_marts(spark, path)
+    return [r["month"] for r in found.distinct().collect()]  # as many as the calendar has
+
+
+def _monthly(spark: SparkSession, path: str, manifest: list, mart: str) -> DataFrame:
+    schema = next(T.StructType.fromJson(json.loads(r[2])) for r in manifest if r[:2] == ("schema", mart))
+    return _read(spark, f"{path}/{mart}", [r[2] for r in manifest if r[0] == mart], schema)
 
 
-def open_marts(spark, path: str) -> Marts:
+def open_marts(spark: SparkSession, path: str) -> Marts:
+    """The newest whole version; what it reads is settled here, whatever refreshes follow."""
+    version = max(n for n, whole in versions(spark, path).items() if whole)
+    manifest = _manifest(spark, path, version)
+    api, sets, weeks = (_monthly(spark, path, manifest, mart) for mart in MONTHLY)
+    places = next(r[2] for r in manifest if r[0] == "places")
+    counts = weeks.groupBy("gdelt_day", "location", "category").agg(F.sum("count").alias("count"))
     return Marts(
-        fact_api=spark.read.parquet(f"{path}/fact_api"),
-        fact_api_locations=spark.read.parquet(f"{path}/fact_api_locations"),
-        map_week=spark.read.parquet(f"{path}/map_week"),
+        fact_api=api,
+        fact_api_locations=sets.drop("month"),
+        map_week=counts.join(spark.read.parquet(f"{path}/places/{places}"), "location").select(
+            "gdelt_day", F.col("location").alias("location_id"), "latitude", "longitude", "category", "count"),
         path=path,
+        version=version,
     )
