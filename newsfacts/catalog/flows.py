@@ -475,22 +475,45 @@ def _(c):
 
 # --- streams ------------------------------------------------------------------------------------
 
-@query("daily_counts_stream", """
+_DAILY_SQL = """
 SELECT strftime(day, '%Y-%m-%d') AS day, event_type, n AS count FROM (
-  SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+  SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)"""
+_WEEKLY_SQL = """
+SELECT strftime(week, '%Y-%m-%d') AS week, event_type, n AS count FROM (
+  SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n FROM events GROUP BY ALL)"""
+
+
+def _daily(c):
+    events = streams.read_table_stream(c.spark, c.sf_dir, "events.parquet")
+    return streams.daily_counts_stream(events, "ts", "event_type")
+
+
+def _weekly(c):
+    events = streams.read_table_stream(c.spark, c.sf_dir, "events.parquet")
+    return streams.weekly_counts_stream(events, "ts", "event_type")
+
+
+@query("daily_counts_stream", _DAILY_SQL, prelude=False)
+def _(c):
+    return streams.run_updating(_daily(c), "daily", ["day", "event_type"])
+
+
+@query("weekly_counts_stream", _WEEKLY_SQL, prelude=False)
+def _(c):
+    return streams.run_updating(_weekly(c), "weekly", ["week", "event_type"])
+
+
+@query("daily_counts_final", _DAILY_SQL + """
 WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""", prelude=False)
 def _(c):
-    events = streams.read_table_stream(c.spark, c.sf_dir, "events.parquet")
-    return streams.run_available(streams.daily_counts_stream(events, "ts", "event_type"), "daily")
+    """Days that the watermark has closed; they do not change any more."""
+    return streams.run_available(_daily(c), "daily")
 
 
-@query("weekly_counts_stream", """
-SELECT strftime(week, '%Y-%m-%d') AS week, event_type, n AS count FROM (
-  SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n FROM events GROUP BY ALL)
+@query("weekly_counts_final", _WEEKLY_SQL + """
 WHERE week + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""", prelude=False)
 def _(c):
-    events = streams.read_table_stream(c.spark, c.sf_dir, "events.parquet")
-    return streams.run_available(streams.weekly_counts_stream(events, "ts", "event_type"), "weekly")
+    return streams.run_available(_weekly(c), "weekly")
 
 
 def _initiate_stream(c, interval):

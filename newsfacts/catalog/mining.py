@@ -362,4 +362,4 @@ def _(c):
     vectors = c.raw("embeddings")
     train = vectors.select(F.col("vec_id").alias("train_id"), F.col("embedding").alias("vector"), "label")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return knn_classify(queries, train, k=5, pivots=16)
+    return knn_classify(queries, train, k=5)

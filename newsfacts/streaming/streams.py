@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from newsfacts.session import new_path
+from newsfacts.sources.manifests import children
 from newsfacts.sources.writers import initiate
 
 
@@ -33,7 +34,10 @@ def _utc_day(instant) -> Column:
 def daily_counts_stream(
     events: DataFrame, time: str, kind: str, delay: str = "1 day"
 ) -> DataFrame:
-    """Rows per day and kind; a day is final once the watermark has passed its end."""
+    """Rows per day and kind; a day is final once the watermark has passed its end.
+
+    :func:`run_available` gives final days only, :func:`run_updating` those still open too.
+    """
     return (
         utc_instant(events, time)
         .withWatermark(time, delay)
@@ -71,6 +75,39 @@ def run_available(counts: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(sink)
 
 
+def run_updating(counts: DataFrame, name: str, keys: list[str], sink: str | None = None) -> DataFrame:
+    """Process all input there is, then stop; returns the latest row of each key, windows still open included.
+
+    A micro-batch stores the rows that it changed under its number and overwrites them on a retry, so a batch that
+    is run twice counts once. Given the ``sink`` of an earlier run, this one goes on from its state.
+    """
+    spark = counts.sparkSession
+    sink = sink or new_path(spark, name)
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
+
+    (
+        counts.writeStream.outputMode("update").foreachBatch(each)
+        .option("checkpointLocation", f"{sink}/state")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return latest_rows(spark, sink, counts.schema, keys)
+
+
+def latest_rows(spark: SparkSession, sink: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The sink of :func:`run_updating` as a table: per key the row of its last batch."""
+    if not children(spark, f"{sink}/rows"):
+        return spark.createDataFrame([], schema)
+    values = [c for c in schema.names if c not in keys]
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(
+        f"{sink}/rows")
+    latest = stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return latest.select(*keys, "last.*").select(*schema.names)
+
+
 def initiate_stream(
     articles: DataFrame, analyses_path: str, state_path: str, now, interval: str | None = None
 ) -> StreamingQuery:
