@@ -1,11 +1,10 @@
 """Line dedup by winnowing, in DataFrame functions only.
 
-Lines are hashed; of each window of ``run`` consecutive lines the smallest hash is the window's
-fingerprint, so any repeated run of at least ``run`` lines shares a fingerprint at every window. Fingerprint
-positions are joined; where a fingerprint occurs again, the windows it was selected from are compared
-whole, each with the earliest equal one. Equal windows that follow one another are the extension of a match
-to both sides: together they are the maximal repeated run. Every line of a window that occurred earlier,
-in the order of (id, line), is deleted.
+Lines are hashed. Of each window of ``run`` consecutive lines the smallest hash is selected with its position, and only
+these positions are kept, with the hashes of the lines around them. Any repeated run of at least ``run`` lines has a
+selected position at the same place in each occurrence. Positions are joined on their hash; where it occurs again, the
+match is extended line by line to both sides, as far as the windows whose minimum it is. Windows that follow one another
+chain to the maximal repeated run. Every line of a window that occurred earlier, in the order of (id, line), is deleted.
 """
 
 from __future__ import annotations
@@ -26,35 +25,60 @@ def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     as they came in, treated alike. A null text has no lines and comes back null; an empty one has one. An
     empty table gives no rows. Extra columns are not read.
 
-    A window is two hashes of 64 bits with its place; texts do not move. A window of a third of all
-    texts is reduced to its earliest place by a partial aggregate before any shuffle.
+    A selected position is its hash, its place and the hashes of at most ``2 * run - 1`` lines; texts do not move. A
+    fingerprint or window of a third of all texts is reduced to its earliest place by a partial aggregate before any
+    shuffle; no pairs are formed.
     """
     lines = F.split("text", "\n", -1)
     kept = F.filter(
         F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))),
         lambda x: F.length(F.trim(F.regexp_replace(x["line"], r"\s", ""))) > 0)
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("kept") - run),
-        lambda i: F.struct(
-            F.array_min(F.transform(F.slice("kept", i + 1, run), lambda x: x["hash"])).alias("finger"),
-            F.xxhash64(F.transform(F.slice("kept", i + 1, run), lambda x: x["hash"])).alias("whole"),
-            F.element_at("kept", i + 1)["at"].alias("begin"),
-            F.element_at("kept", i + run)["at"].alias("end")))
+
+    def least(seen, start):
+        """The smallest hash of a window and its index; the first of equal ones."""
+        return F.array_min(F.transform(
+            F.slice(seen, start + 1, run), lambda x, j: F.struct(x["hash"].alias("hash"), (start + j).alias("index"))))
+
+    # A window minimum is chosen once, however many windows it is the minimum of.
+    minima = F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.size("kept") - run), lambda i: least(F.col("kept"), i)))
+
+    def with_context(m):
+        start = F.greatest(m["index"] - (run - 1), F.lit(0))
+        return F.struct(
+            m["hash"].alias("finger"), m["index"].alias("at"), (m["index"] - start).alias("left"),
+            F.slice("kept", start + 1, m["index"] - start + run).alias("around"))
+
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn(
         "version", F.xxhash64("text"))
-    places = stored(
+    chosen = stored(
         rows.withColumn("lines", lines).withColumn("kept", kept)
         .select("id", "version", F.transform("kept", lambda x: F.struct(
             x["at"].alias("at"), F.xxhash64(x["line"]).alias("hash"))).alias("kept"))
         .filter(F.size("kept") >= run)
-        .select("id", "version", F.explode(windows).alias("w")).select("id", "version", "w.*"), "lines-windows")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "version", "begin")
-    repeated = places.groupBy("finger").agg(
-        F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("finger")
-    shared = places.join(repeated, "finger", "left_semi")
+        .select("id", "version", F.explode(F.transform(minima, with_context)).alias("m"))
+        .select("id", "version", "m.*"), "lines-minima")
+
+    def place(at: str):
+        return F.struct(F.col("id").isNull().alias("last"), "id", "version", at)
+
+    repeated = chosen.groupBy("finger").agg(
+        F.min(place("at")).alias("low"), F.max(place("at")).alias("high")).filter("low <> high").select("finger")
+    # Extension both ways, line by line: the windows around a fingerprint of which it is the minimum. Equal windows
+    # have it at the same distance, so each is met exactly once.
+    starts = F.filter(
+        F.sequence(F.greatest(F.col("left") - (run - 1), F.lit(0)), F.least(F.col("left"), F.size("around") - run)),
+        lambda i: least(F.col("around"), i)["index"] == F.col("left"))
+    windows = F.transform(starts, lambda i: F.struct(
+        F.xxhash64(F.transform(F.slice("around", i + 1, run), lambda x: x["hash"])).alias("whole"),
+        F.element_at("around", i + 1)["at"].alias("begin"),
+        F.element_at("around", i + run)["at"].alias("end")))
+    shared = chosen.join(repeated, "finger", "left_semi").select(
+        "id", "version", F.explode(windows).alias("w")).select("id", "version", "w.*")
     first = shared.groupBy("whole").agg(
-        F.min(place).alias("first"), F.max(place).alias("high")).filter("first <> high").select("whole", "first")
-    later = shared.join(first, "whole").filter(place != F.col("first"))
+        F.min(place("begin")).alias("first"), F.max(place("begin")).alias("high")).filter(
+        "first <> high").select("whole", "first")
+    later = shared.join(first, "whole").filter(place("begin") != F.col("first"))
     # One entry per deleted window of a text, so no longer than the text.
     spans = later.groupBy("id", "version").agg(
         F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))

@@ -190,6 +190,32 @@ def test_line_dedup(spark, hard, empty):
     assert lines.line_dedup(empty).count() == 0
 
 
+def without_later_runs(texts, run):
+    """Plain version of line_dedup for distinct ids in order."""
+    seen, out = set(), {}
+    for key, text in texts:
+        all_lines = text.split("\n")
+        kept = [i for i, x in enumerate(all_lines) if x.strip(" \t\r\f\v")]
+        gone = set()
+        for a in range(len(kept) - run + 1):
+            window = tuple(all_lines[i] for i in kept[a:a + run])
+            if window in seen:
+                gone |= set(range(kept[a], kept[a + run - 1] + 1))
+            seen.add(window)
+        out[key] = "\n".join(x for i, x in enumerate(all_lines) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_line_dedup_equals_brute_force(spark, run):
+    """Few different lines, so that windows repeat within and across texts, overlap, and tie on their minimum."""
+    rng = np.random.default_rng(run)
+    texts = [(i, "\n".join(rng.choice(["a", "b", "c", "", " "], size=rng.integers(0, 14)))) for i in range(60)]
+    texts += [(60 + i, "\n".join(f"line {j}" for j in range(i, i + 40))) for i in range(0, 30, 3)]
+    got = lines.line_dedup(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), run=run).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == without_later_runs(texts, run)
+
+
 # Toxicity
 
 
