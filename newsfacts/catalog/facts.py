@@ -537,13 +537,30 @@ def _(c):
     return first.select("fact", "gdelt_day", "gkg_id", "category", "document_identifier")
 
 
+_ARTICLES = """(
+  SELECT o_orderkey AS gkg_id, 'Report ' || o_orderpriority || ' of ' || o_custkey AS title,
+    CASE WHEN o_orderkey % 11 <> 0 THEN 'Author ' || (o_custkey % 50) END AS authors,
+    strftime(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 4 AS INTEGER), '%Y-%m-%d') AS publication_date FROM orders)"""
+_DETAILS = """(
+  SELECT id, CAST(id % 500 AS INTEGER) AS excerpt_start, CAST(id % 500 + 80 AS INTEGER) AS excerpt_end,
+    'term:' || (id % 500 + 5) || '-' || (id % 500 + 15)
+    || CASE WHEN id % 2 = 0 THEN ';loc:' || (id % 500 + 20) || '-' || (id % 500 + 26) ELSE '' END AS tags FROM fx_facts)"""
+
+
+def _tags():
+    return F.array_join(F.transform("tag_spans", lambda s: F.concat(
+        s["type"], F.lit(":"), s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ";").alias("tags")
+
+
 _URL_SQL = f"""
 SELECT p.document_identifier, p.fact, CAST(p.gdelt_day AS VARCHAR) AS gdelt_day, p.iso3,
   p.source_common_name, p.specific_reported_figure, p.term, p.unit, p.vague_reported_figure,
   p.category, p.gkg_id, {joined_sql('s.location_ids')} AS location_ids,
   {joined_sql('s.location_names')} AS location_names, md5(ct.content_clean) AS content_md5,
-  v.assigned_to, v.missing, v.status, v.wrong, vv.display_color
+  v.assigned_to, v.missing, v.status, v.wrong, vv.display_color, ad.title, ad.authors, fd.excerpt_start,
+  fd.excerpt_end, fd.tags
 FROM {{first}} p JOIN fx_fact_sets s ON p.fact = s.fact
+JOIN {_ARTICLES} ad ON p.gkg_id = ad.gkg_id JOIN {_DETAILS} fd ON p.fact = fd.id
 JOIN fx_contents ct ON p.content_id = ct.id
 LEFT JOIN fx_validation v ON p.fact = v.fact_id
 LEFT JOIN fx_validation_values vv ON v.status = vv.key_value
@@ -553,13 +570,15 @@ ORDER BY p.fact LIMIT {{limit}} OFFSET {{offset}}"""
 def _url_list(c, flt, limit, offset):
     listed = listing.url_list(
         flt.apply(c.marts.fact_api, c.text_index if flt.ts else None), c.marts.fact_api_locations,
-        c.analyses.select("gkg_id"), c.stored_contents, c.validation, c.validation_values, limit, offset,
+        c.analyses.select("gkg_id").join(c.article_details.drop("publication_date"), "gkg_id"), c.stored_contents,
+        c.validation, c.validation_values, limit, offset, details=c.fact_details,
     )
     return listed.select(
         "document_identifier", "fact", "gdelt_day", "iso3", "source_common_name",
         "specific_reported_figure", "term", "unit", "vague_reported_figure", "category", "gkg_id",
         "location_ids", "location_names", F.md5("content_clean").alias("content_md5"),
-        "assigned_to", "missing", "status", "wrong", "display_color",
+        "assigned_to", "missing", "status", "wrong", "display_color", "title", "authors", "excerpt_start",
+        "excerpt_end", _tags(),
     )
 
 
@@ -635,19 +654,15 @@ def _(c):
     ).select("id", "unit", "status", "missing", "wrong", "assigned_to", "display_color")
 
 
-@query("get_document", """
+@query("get_document", f"""
 SELECT g.id AS gkg_id, g.date AS gkg_date, g.source_common_name, g.document_identifier,
-  strftime(a.updated, '%Y-%m-%d') AS publication_date, a.category, md5(ct.content_clean) AS content_md5
-FROM fx_gkg g JOIN fx_analyses a ON g.id = a.gkg_id LEFT JOIN fx_contents ct ON a.content_id = ct.id""")
+  ad.title AS document_title, ad.publication_date, a.category, md5(ct.content_clean) AS content_md5
+FROM fx_gkg g JOIN fx_analyses a ON g.id = a.gkg_id JOIN {_ARTICLES} ad ON ad.gkg_id = g.id
+LEFT JOIN fx_contents ct ON a.content_id = ct.id""")
 def _(c):
-    found = listing.get_document(
-        c.gkg, c.analyses.select("gkg_id", "category", "content_id", "updated"), c.stored_contents
-    )
-    return found.select(
-        "gkg_id", "gkg_date", "source_common_name", "document_identifier",
-        F.date_format("updated", "yyyy-MM-dd").alias("publication_date"), "category",
-        F.md5("content_clean").alias("content_md5"),
-    )
+    analyses = c.analyses.select("gkg_id", "category", "content_id").join(c.article_details, "gkg_id")
+    return listing.get_document(c.gkg, analyses, c.stored_contents).withColumn(
+        "content_md5", F.md5("content_clean")).drop("content_clean")
 
 
 _NESTED = """
@@ -672,15 +687,15 @@ def _(c):
 
 @query("document_facts", f"""
 SELECT af.analysis AS gkg_id, f.id AS fact_id, f.unit, f.term, f.specific_reported_figure,
-  f.vague_reported_figure, f.iso3, n.locations
-FROM fx_analysis_facts af JOIN fx_facts f ON af.fact = f.id JOIN ({_NESTED}) n ON n.fact = f.id""")
+  f.vague_reported_figure, f.iso3, fd.excerpt_start, fd.excerpt_end, fd.tags, n.locations
+FROM fx_analysis_facts af JOIN fx_facts f ON af.fact = f.id JOIN {_DETAILS} fd ON fd.id = f.id JOIN ({_NESTED}) n ON n.fact = f.id""")
 def _(c):
     listed = listing.document_facts(
-        c.facts, c.analysis_facts, c.fact_locations, c.locations, c.countries
+        c.facts.join(c.fact_details, "id"), c.analysis_facts, c.fact_locations, c.locations, c.countries
     )
     return listed.select(
         "gkg_id", "fact_id", "unit", "term", "specific_reported_figure", "vague_reported_figure",
-        "iso3", _flat("locations").alias("locations"),
+        "iso3", "excerpt_start", "excerpt_end", _tags(), _flat("locations").alias("locations"),
     )
 
 

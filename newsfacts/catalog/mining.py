@@ -13,7 +13,7 @@ from newsfacts.functions import text as tx
 from newsfacts.operators import models, words
 from newsfacts.operators.neighbours import knn_classify
 from newsfacts.session import written
-from newsfacts.sources import readers
+from newsfacts.sources import pages, readers
 
 # A lexicon whose forms occur in the documents.
 WORDS = lx.Lexicon({
@@ -43,21 +43,35 @@ def _pos(c):
 
 # --- language -----------------------------------------------------------------------------------
 
-@query("detect_language", f"""
+_LANGUAGE_SQL = f"""
 WITH chars AS (
   SELECT doc_id, lang, string_split(regexp_replace(lower(text), '[{tx.SPACE}]+', ' ', 'g'), '') AS c FROM documents
 ), grams AS (
   SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram
   FROM chars
-), profile AS (
-  SELECT lang, gram FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS r
-    FROM grams GROUP BY lang, gram) WHERE r <= 300
+), known AS (
+  SELECT lang, gram, count(*) AS n FROM grams WHERE lang IS NOT NULL GROUP BY lang, gram
+), mass AS (
+  SELECT lang, ln(sum(n) + (SELECT count(DISTINCT gram) FROM known) + 1) AS mass FROM known GROUP BY lang
 ), scores AS (
-  SELECT g.doc_id, p.lang, count(*) AS n FROM grams g JOIN profile p ON g.gram = p.gram GROUP BY ALL
+  SELECT g.doc_id, k.lang, sum(ln(k.n + 1)) AS gain FROM grams g JOIN known k ON g.gram = k.gram GROUP BY ALL
+), likely AS (
+  SELECT s.doc_id, s.lang, round(gain - t.total * m.mass, 6) AS score FROM scores s JOIN mass m ON s.lang = m.lang
+  JOIN (SELECT doc_id, count(*) AS total FROM grams GROUP BY doc_id) t ON s.doc_id = t.doc_id
 )
 SELECT d.doc_id, s.detected FROM documents d LEFT JOIN (
-  SELECT doc_id, arg_min(lang, struct_pack(n := -n, l := lang)) AS detected FROM scores GROUP BY doc_id) s
-ON d.doc_id = s.doc_id""", prelude=False)
+  SELECT doc_id, arg_min(lang, struct_pack(n := -score, l := lang)) AS detected FROM likely GROUP BY doc_id) s
+ON d.doc_id = s.doc_id"""
+
+
+@query("english_detected", f"SELECT doc_id FROM ({_LANGUAGE_SQL}) WHERE detected = 'en'", prelude=False)
+def _(c):
+    """Documents kept by what their text is found to be, not by a given label."""
+    found = words.detect_language(docs(c), "text", words.language_profiles(docs(c), "text", "lang"))
+    return pages.english_only(found, "detected").select("doc_id")
+
+
+@query("detect_language", _LANGUAGE_SQL, prelude=False)
 def _(c):
     profiles = words.language_profiles(docs(c), "text", "lang")
     return words.detect_language(docs(c), "text", profiles).select("doc_id", "detected")

@@ -40,16 +40,21 @@ def url_list(
     values: DataFrame,
     limit: int = 32,
     offset: int = 0,
+    details: DataFrame | None = None,
 ) -> DataFrame:
     """One page of facts with article, content and review columns.
 
-    A fact without a stored content is not listed, so keys are semi-joined first; the page is cut
-    on narrow rows and only then do the wide columns join.
+    All columns of ``analyses`` (title, authors, ...) are listed, and with ``details`` (id, ...) those of the fact's
+    own row, such as its excerpt and tags. A fact without a stored content is not listed, so keys are semi-joined
+    first. The page is cut on bare fact ids; wide rows are read for its facts only.
     """
     rows = filtered.join(
         contents.select(F.col("id").alias("content_id")), "content_id", "left_semi"
     ).join(fact_sets.select("fact"), "fact", "left_semi")
-    page = first_per_fact(rows).orderBy("fact").offset(offset).limit(limit)
+    ids = rows.select("fact").distinct().orderBy("fact").offset(offset).limit(limit)
+    page = first_per_fact(rows.join(ids, "fact", "left_semi"))
+    if details is not None:
+        page = page.join(details.withColumnRenamed("id", "fact"), "fact")
     listed = (
         page.join(fact_sets.select("fact", "location_ids", "location_names"), "fact")
         .join(analyses, "gkg_id")
@@ -79,14 +84,21 @@ def grouped_facts(
 
 
 def get_document(gkg: DataFrame, analyses: DataFrame, contents: DataFrame) -> DataFrame:
-    """Article, analysis and (where stored) clean text, one row per analysed article."""
+    """Article with its title, day of publication, category and (where stored) clean text, one row per
+    analysed article. ``analyses`` has gkg_id, title, publication_date, category and content_id."""
     return (
         gkg.select(
             F.col("id").alias("gkg_id"), F.col("date").alias("gkg_date"), "source_common_name",
             "document_identifier",
         )
-        .join(analyses, "gkg_id")
+        .join(
+            analyses.select(
+                "gkg_id", F.col("title").alias("document_title"),
+                F.date_format("publication_date", "yyyy-MM-dd").alias("publication_date"), "category", "content_id"),
+            "gkg_id",
+        )
         .join(contents.select(F.col("id").alias("content_id"), "content_clean"), "content_id", "left")
+        .drop("content_id")
     )
 
 
@@ -113,7 +125,8 @@ def document_facts(
     locations: DataFrame,
     countries: DataFrame,
 ) -> DataFrame:
-    """Facts per article with nested places; facts without a place in a known country are left out."""
+    """Facts per article, with all columns of ``facts`` (excerpt and tags included) and nested places; facts
+    without a place in a known country are left out."""
     return (
         analysis_facts.select(F.col("analysis").alias("gkg_id"), F.col("fact").alias("id"))
         .join(facts.drop("gkg_id"), "id")

@@ -15,8 +15,6 @@ from newsfacts.session import written
 # Words, or runs of punctuation.
 WORD_PUNCT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
-# Most words a dictionary keeps, so that it can always be broadcast.
-
 
 def word_punct(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD_PUNCT})"), 1)
@@ -56,12 +54,18 @@ def pos_features(text: Column, lexicon: lx.Lexicon, stop_words: list[str] = tx.S
     return F.transform(kept, lambda t: lx.lemma(t, lexicon))
 
 
+def _whole(name: Column) -> Column:
+    """Pattern of a name where it stands by itself, not within a longer word."""
+    letter = r"[\p{L}\p{N}_]"
+    return F.concat(F.lit(rf"(?<!{letter})\Q"), name, F.lit(rf"\E(?!{letter})"))
+
+
 def generalise_entities(
     sentences: DataFrame, gazetteer: DataFrame, keys: list[str], text: str = "sentence"
 ) -> DataFrame:
     """Countries become one name, other places another, numbers ``1000``; URLs and addresses go.
 
-    ``gazetteer`` holds (name, kind). Longer names are replaced first.
+    ``gazetteer`` holds (name, kind). Longer names are replaced first, and only where they are whole words.
     """
     parsed = tokenise(sentences.withColumnRenamed(text, "sentence"))
     places = location_match(parsed, gazetteer, keys)
@@ -76,7 +80,7 @@ def generalise_entities(
     )
     swapped = F.aggregate(
         F.coalesce("_swaps", F.array().cast("array<struct<n:int,name:string,new:string>>")),
-        F.col(text), lambda acc, s: F.replace(acc, s["name"], s["new"]),
+        F.col(text), lambda acc, s: F.regexp_replace(acc, _whole(s["name"]), s["new"]),
     )
     address = r"(?i)\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+\.[\w.-]+"
     bare = F.regexp_replace(swapped, address, " ")
@@ -207,33 +211,35 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(flat, F.lit("(?=([^\n]{3}))"), 1)
 
 
-def language_profiles(docs: DataFrame, text: str, language: str, top: int = 300) -> DataFrame:
-    """(lang, gram): the most frequent trigrams of each language in labelled documents."""
-    counted = docs.select(
-        F.col(language).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")
-    ).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return counted.withColumn("r", rank).filter(F.col("r") <= top).select("lang", "gram")
+def language_profiles(docs: DataFrame, text: str, language: str) -> DataFrame:
+    """(lang, gram, weight, mass): every trigram of each language in labelled documents.
+
+    ``weight`` is the logarithm of 1 + how often the language has it. ``mass`` is that of all trigrams of the language
+    plus one for each trigram known in any language and one for all others: what a trigram that the language lacks
+    costs is ``mass``, and one that it has ``mass - weight`` (add-one smoothing).
+    """
+    counted = written(
+        docs.filter(F.col(language).isNotNull())
+        .select(F.col(language).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
+        .groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")), "trigrams")
+    known = counted.select("gram").distinct().count()
+    mass = counted.groupBy("lang").agg(F.log(F.sum("n") + known + 1).alias("mass"))
+    return counted.join(mass, "lang").select("lang", "gram", F.log(F.col("n") + 1).alias("weight"), "mass")
 
 
 def detect_language(docs: DataFrame, text: str, profiles: DataFrame) -> DataFrame:
-    """Adds ``detected``: the language most of the text's trigrams are typical of; ties go to the
-    first in alphabetical order, and a text that matches none stays NULL.
+    """Adds ``detected``: the language under which the text's trigrams are likeliest; ties go to the first in
+    alphabetical order. Languages that have none of them are no candidates, so a text of unknown trigrams stays NULL.
 
-    Profiles are a few hundred trigrams for each language, so they are collected and become hashed
-    sets; the documents are scanned once and never shuffled.
+    Equal texts are counted together, which changes all their likelihoods alike. What is shuffled are counts of
+    trigrams; profiles join by trigram, whatever their number.
     """
-    sets: dict[str, list[str]] = {}
-    for row in profiles.collect():
-        sets.setdefault(row["lang"], []).append(row["gram"])
-    grams = docs.withColumn("_g", trigrams(F.col(text)))
-
-    def score(lang: str, typical: list[str]) -> Column:
-        hits = F.size(F.filter("_g", lambda g: g.isin(typical)))
-        return F.struct((-hits).alias("score"), F.lit(lang).alias("lang"))
-
-    scores = F.array(*[score(lang, typical) for lang, typical in sorted(sets.items())])
-    best = F.array_min(scores)
-    return grams.withColumn("_b", best).withColumn(
-        "detected", F.when(F.col("_b.score") < 0, F.col("_b.lang"))
-    ).drop("_g", "_b")
+    counts = docs.select(F.md5(F.col(text)).alias("_t"), F.explode(trigrams(F.col(text))).alias("gram")).groupBy(
+        "_t", "gram").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("_t").agg(F.sum("n").alias("total"))
+    shared = counts.join(profiles, "gram").groupBy("_t", "lang").agg(
+        F.sum(F.col("n") * F.col("weight")).alias("gain"), F.max("mass").alias("mass"))
+    likely = F.round(F.col("gain") - F.col("total") * F.col("mass"), 6)
+    best = shared.join(totals, "_t").groupBy("_t").agg(
+        F.min_by("lang", F.struct((-likely).alias("cost"), "lang")).alias("detected"))
+    return docs.withColumn("_t", F.md5(F.col(text))).join(best, "_t", "left").drop("_t")

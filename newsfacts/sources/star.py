@@ -129,6 +129,32 @@ class NewsTables:
             )
         )
 
+    @cached_property
+    def article_details(self) -> DataFrame:
+        """Title, authors and publication of an article, as its page gave them."""
+        key = F.col("o_orderkey")
+        return self.raw("orders").select(
+            key.alias("gkg_id"),
+            F.concat(F.lit("Report "), F.col("o_orderpriority"), F.lit(" of "), F.col("o_custkey").cast("string")).alias(
+                "title"),
+            F.when(key % 11 != 0, F.concat(F.lit("Author "), (F.col("o_custkey") % 50).cast("string"))).alias("authors"),
+            F.date_sub(F.col("o_orderdate").cast("date"), (key % 4).cast("int")).alias("publication_date"),
+        )
+
+    @cached_property
+    def fact_details(self) -> DataFrame:
+        """Excerpt and tagged spans of a fact."""
+        start = (F.col("id") % 500).cast("int")
+
+        def span(kind: str, at: int, length: int):
+            return F.struct(F.lit(kind).alias("type"), (start + at).alias("start"), (start + at + length).alias("end"))
+
+        place = F.when(F.col("id") % 2 == 0, F.array(span("loc", 20, 6))).otherwise(F.array().cast(
+            "array<struct<type:string,start:int,end:int>>"))
+        return self.facts.select(
+            "id", start.alias("excerpt_start"), (start + 80).alias("excerpt_end"),
+            F.concat(F.array(span("term", 5, 10)), place).alias("tag_spans"))
+
     @cached_property
     def analysis_facts(self) -> DataFrame:
         return self.raw("lineitem").select(
