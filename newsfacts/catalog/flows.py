@@ -159,7 +159,7 @@ def _body_sql():
         body = f"regexp_replace({body}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}>', ' ', 'g')"
     plain = lambda b: _squeeze(_entities(f"regexp_replace({b}, '<[^>]*>', ' ', 'g')"))
     links = "array_to_string(regexp_extract_all(b, '(?is)<a(?:\\s[^>]*)?>(.*?)</a>', 1), '')"
-    keep = (f"length({plain('b')}) >= {pg.MIN_BLOCK} AND length({plain(links)}) <= "
+    keep = (f"length({plain('b')}) > 0 AND length({plain(links)}) <= "
             f"length({plain('b')}) * {pg.MAX_LINK_SHARE}")
     block = pg.BLOCK.replace("'", "''")
     return (f"array_to_string(list_transform(list_filter(string_split_regex({body}, '{block}'), "

@@ -17,11 +17,26 @@ ENTITIES = [
     ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 ]
 
-MIN_BLOCK = 25
 MAX_LINK_SHARE = 0.5
 
 
+NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(entity: Column) -> Column:
+    """What a numeric entity stands for; itself where that is no character. An ampersand is left to the last step."""
+    digits = F.substring(entity, F.lit(3), F.length(entity) - 3)
+    code = F.when(F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(
+        digits).cast("long")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(code == 38, F.lit("&amp;")).when(
+        valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+
 def decode_entities(col: Column) -> Column:
+    """Numeric entities and the named ones above, each decoded once."""
+    found = F.array_distinct(F.regexp_extract_all(col, F.lit(NUMERIC), 0))
+    col = F.aggregate(found, col, lambda text, entity: F.replace(text, entity, _character(entity)))
     for entity, char in ENTITIES:
         col = F.replace(col, F.lit(entity), F.lit(char))
     return col
@@ -35,14 +50,15 @@ def html_title(html: Column) -> Column:
 
 
 def html_meta(html: Column, names: list[str]) -> Column:
-    """Content of the first meta element with one of the names."""
-    name = "|".join(names)
-    pattern = rf"""(?is)<meta[^>]*(?:name|property)=["'](?:{name})["'][^>]*content=["']([^"']*)["']"""
-    return F.nullif(decode_entities(F.regexp_extract(html, pattern, 1)), F.lit(""))
+    """Content of the first meta element with one of the names, whichever attribute comes first."""
+    named = rf"""(?=[^>]*?\b(?:name|property)\s*=\s*["'](?:{"|".join(names)})["'])"""
+    pattern = rf"""(?is)<meta\s{named}[^>]*?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    content = F.concat(F.regexp_extract(html, pattern, 1), F.regexp_extract(html, pattern, 2))
+    return F.nullif(F.trim(tx.collapse_whitespace(decode_entities(content))), F.lit(""))
 
 
 def html_body(html: Column) -> Column:
-    """Blocks of running text in order: long enough, and not mostly links."""
+    """Blocks of text in order, whatever their length, without those that are mostly links."""
     body = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for tag in DROPPED:
         body = F.regexp_replace(body, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " ")
@@ -61,7 +77,7 @@ def html_body(html: Column) -> Column:
     blocks = F.transform(F.split(body, BLOCK), parts)
     kept = F.filter(
         blocks,
-        lambda b: (F.length(b["text"]) >= MIN_BLOCK)
+        lambda b: (F.length(b["text"]) > 0)
         & (b["linked"] <= F.length(b["text"]) * MAX_LINK_SHARE),
     )
     return F.array_join(F.transform(kept, lambda b: b["text"]), " ")
