@@ -35,6 +35,7 @@ WINDOW = LEAST - GRAM + 1
 RIGHT = 31  # words from a kept place on that a match has, unless it has LEFT before its gram
 LEFT = LEAST - RIGHT + 1
 BEFORE, AFTER = LEAST - GRAM, LEAST  # words of context compared on each side of a kept place
+SORTED = 100_000  # suffixes sorted in one task, of some 400 bytes each; fewer, larger tasks need more memory
 
 
 def minimisers(g: np.ndarray) -> np.ndarray:
@@ -232,9 +233,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = stored(
         with_text(likely).mapInArrow(_contexts, "gram long, after binary, before binary, h long, pos long"),
         "suffix-contexts")
+    parts = max(1, -(-contexts.count() // SORTED))
     matches = None
     for order in (["gram", "after", "h", "pos"], ["gram", "before", "h", "pos"]):
-        ordered = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
+        ordered = contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         found = stored(ordered.mapInArrow(_compare, _MATCH), "suffix-matches")
         edges = found.filter("part is not null").orderBy("part", "last").select("row").collect()  # two a partition
         border = np.frombuffer(b"".join(bytes(r["row"]) for r in edges), _ROW)
