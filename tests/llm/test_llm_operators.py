@@ -65,13 +65,16 @@ def test_jaccard_on_hard_rows(hard, empty, sim):
     assert ngram_join.jaccard_join(empty, sim).count() == 0
 
 
-def test_jaccard_joins_chains_of_near_copies(spark):
+@pytest.mark.parametrize("edits,pieces", [(6, ngram_join.LIST), (12, 6)])
+def test_jaccard_joins_chains_of_near_copies(spark, monkeypatch, edits, pieces):
+    """Also where many of a group fall short of the threshold, and where lists are dealt in small pieces."""
+    monkeypatch.setattr(ngram_join, "LIST", pieces)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
     rows = []
     for i in range(120):  # each differs from the others in a few places
         text = list(base)
-        for k in rng.integers(0, 300, 1 + i % 6):
+        for k in rng.integers(0, 300, 1 + i % edits):
             text[k] = f"v{rng.integers(0, 9999)}"
         rows.append((i, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -81,6 +84,22 @@ def test_jaccard_joins_chains_of_near_copies(spark):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+def test_stars_pair_heads_and_neighbours_across_batches():
+    import pyarrow as pa
+
+    cls = np.arange(10, 22)
+    gram = np.r_[np.zeros(9), np.ones(3)].astype(np.int64)
+    columns = [gram, cls, np.full(12, 100), np.zeros(12, np.int64), cls, np.zeros(12, np.int64)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "cls", "n", "pos", "root", "piece"])
+    want = sorted({(min(i, j), max(i, j)) for i in range(9) for j in [*range(4), i - 1] if j >= 0 and i > j}
+                  | {(9, 10), (9, 11), (10, 11)})
+    for size in (1, 2, 5, 12):
+        batches = [whole.slice(i, size) for i in range(0, 12, size)] + [whole.slice(12, 0)]
+        got = [(int(a) - 10, int(b) - 10) for out in ngram_join._stars(ngram_join.Similarity())(iter(batches))
+               for a, b in zip(*(c.to_pylist() for c in out.columns))]
+        assert sorted(got) == want
+
+
 # WARC
 
 
