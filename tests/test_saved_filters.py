@@ -88,6 +88,23 @@ def test_a_filter_is_looked_up_by_its_rarest_dimension(spark):
     assert rows(sf._drivers(table, filters), "name", "dimension", "value") == [("all", "any", ""), ("x", "location", "77")]
 
 
+@pytest.mark.parametrize("bounds", [0, 64])
+def test_broad_filters_meet_cells_instead_of_facts(spark, monkeypatch, bounds):
+    """Counts of filters that ask the same, with facts by the thousand, join no more rows than there are cells."""
+    monkeypatch.setattr(sf, "BOUNDS", bounds)
+    table, joined = facts(spark), []
+    many = table.crossJoin(spark.range(20).toDF("copy")).withColumn("fact", sf.F.col("fact") * 20 + sf.F.col("copy"))
+    met = sf._met
+    monkeypatch.setattr(sf, "_met", lambda rows, filters, salt: joined.append((rows.count(), filters.count())) or met(
+        rows, filters, salt))
+    asked = [(f"f{i}", {"categories": "Conflict,Disaster" if i % 2 else "Disaster,Conflict", "units": "Person",
+                        "specific_reported_figures": "1,60"}) for i in range(40)]
+    asked += [(f"p{i}", {"location_ids": "{1,NULL}", "fromdate": "1998-02-01"}) for i in range(5)]
+    counts = {r["name"]: r["n"] for r in sf.match_counts(many.drop("copy"), saved(spark, asked)).collect()}
+    assert counts == {name: 20 * len(single(table, request)) for name, request in asked} and min(counts.values()) > 0
+    assert [f for _, f in joined] == [1, 1] and max(n for n, _ in joined) < 4 * table.count()
+
+
 def test_stored_marts(spark):
     api = context(spark, "/root/testdata/sf0.001").marts.fact_api
     request = {"categories": "Conflict", "location_ids": "{3,7,10}", "todate": "1998-06-01"}
