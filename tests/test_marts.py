@@ -7,6 +7,7 @@ import pytest
 from helpers import rows
 
 from newsfacts.plans import marts
+from newsfacts.sources.star import NewsTables
 
 FACTS = [(1, "Person", 5), (2, "Person", 6), (3, "Household", None), (4, "Person", 7), (5, "Person", 8)]
 BRIDGE = [(10, 1), (10, 2), (20, 2), (30, 3), (40, 4)]  # fact 5 has no article
@@ -107,3 +108,15 @@ def test_empty_tables(spark, tmp_path):
 def test_changed_since(spark):
     got = marts.changed_since(tables(spark).analyses, marts.F.lit("2019-12-31").cast("timestamp_ntz"))
     assert rows(got) == [(10,), (20,), (30,), (40,)]
+
+
+def test_pairs_are_shuffled_once(spark, tmp_path):
+    """Distinct pairs lie by the key that the read model groups and joins them by."""
+    lines = [(1, 3, 12, 1), (1, 3, 12, 1), (2, 4, 15, 1), (2, 11, 15, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    c = NewsTables(spark, str(tmp_path))
+    assert c.fact_locations.count() == 3 and c.analysis_facts.count() == 3
+    for pairs, key in ((c.fact_locations, "fact"), (c.analysis_facts, "analysis")):
+        plan = pairs.groupBy(key).count()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
