@@ -45,6 +45,17 @@ def test_profiles_are_whole(spark):
     assert words.language_profiles(docs, "text", "lang").count() == 1998
 
 
+def test_trigrams_are_counted_within_the_text(spark):
+    """One row for each trigram of a text, not for each of its characters; beyond 16 bits too."""
+    texts = [("a", "na " * 5000), ("b", "\U0001F600 \n\tx\U0001F600"), ("c", "no"), ("d", None)]
+    counts = words.trigram_counts(spark.createDataFrame(texts, "key string, text string"))
+    got = rows(counts.select("key", words._gram_text(words.F.col("gram")), "n"))
+    assert got == sorted([("a", "na ", 5000), ("a", "a n", 4999), ("a", " na", 4999), ("b", "\U0001F600 x", 1),
+                          ("b", " x\U0001F600", 1)])
+    assert rows(counts.select((words._gram_code(words._gram_text(words.F.col("gram"))) == words.F.col("gram")).alias(
+        "same")).distinct()) == [(True,)]
+
+
 def test_names_are_replaced_as_whole_words(spark):
     places = spark.createDataFrame([("Niger", "country"), ("Nigeria", "country"), ("Port Hale", "city")],
                                    "name string, kind string")
