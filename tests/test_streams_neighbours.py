@@ -71,3 +71,21 @@ def test_few_rows(spark):
     assert rows(got, "query_id", "train_id") == [(a, b) for a in range(3) for b in range(3) if a != b]
     assert rows(nb.knn_join(queries, three.limit(0), 5)) == []
     assert rows(nb.knn_join(queries.limit(0), three, 5)) == []
+
+
+def test_rows_are_picked_by_a_product_and_measured_by_differences():
+    """Far from the origin a product rounds away what parts the rows; ties and copies are all kept."""
+    import numpy as np
+
+    from newsfacts.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    b = rng.integers(0, 3, (300, 8)) * 1e-4 + 1000.0
+    a = b[:40]
+    own = np.arange(40)[:, None] == np.arange(300)[None, :]
+    i, j, d = neighbours._nearest(a, b, 4, own)
+    exact = np.where(own, np.inf, neighbours._distances(a, b))
+    for q in range(40):
+        got = sorted(zip(d[i == q], j[i == q]))[:4]
+        assert got == [(exact[q, n], n) for n in np.lexsort((np.arange(300), exact[q]))[:4]]
+    assert len(neighbours._nearest(a, b[:2], 4, own[:, :2])[0]) == 78  # fewer rows than asked for
