@@ -89,3 +89,5 @@ def test_rows_are_picked_by_a_product_and_measured_by_differences():
         got = sorted(zip(d[i == q], j[i == q]))[:4]
         assert got == [(exact[q, n], n) for n in np.lexsort((np.arange(300), exact[q]))[:4]]
     assert len(neighbours._nearest(a, b[:2], 4, own[:, :2])[0]) == 78  # fewer rows than asked for
+    centres = b[40:60] + rng.random((20, 8)) * 1e-5
+    assert neighbours._own_cells(b, centres).tolist() == neighbours._distances(b, centres).argmin(axis=1).tolist()
