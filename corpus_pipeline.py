@@ -54,7 +54,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one document.
     """
     keyed = _keyed(docs)
-    joined = stored(ngram_join.jaccard_join(keyed, id_col="_key"), "pipeline-groups")
+    joined = stored(
+        ngram_join.jaccard_join(keyed, id_col="_key").select("_key", "class_id", "component_id"), "pipeline-groups")
     gone = joined.filter("_key <> component_id").select("_key").distinct()
     kept = keyed.join(gone, "_key", "left_anti")
     repeated = joined.filter("class_id is not null").groupBy("_key", "class_id").count().filter("count > 1")

@@ -23,8 +23,13 @@ pairs; all further work is between classes.
    difference of its own. Both are part of the join's condition, so failing pairs are not made.
 6. What is left is verified once by the exact intersection of both sets.
 
-The links that come out connect exactly what all links connect. ``n_links`` counts the verified ones.
-Sets are read from the texts once for each class that reaches verification.
+The links that come out connect exactly what all links connect. Sets are read from the texts once for each class that
+reaches verification.
+
+7. ``n_links`` counts all links. They lie within the components. A component whose pairs are not all verified links is cut
+   into blocks by the hash of the class, and each two blocks meet in one cell, where a product of 0/1 matrices over the
+   n-grams of both counts the links. What leaves a cell is one count a class, no pairs. Nothing of this runs if
+   ``n_links`` is not asked for.
 """
 
 from __future__ import annotations
@@ -54,6 +59,10 @@ PARTS_TYPE = ", ".join([f"{p} long" for p in COARSE] + ["parts array<long>"])
 STAR_ORDERS = (("n", "cls"), ("degree desc", "xxhash64(cls, 1)", "cls"), ("degree desc", "xxhash64(cls, 2)", "cls"))
 HUBS = 4  # classes at the head of a list that all others are paired with
 LIST = 100_000  # classes of a list in one piece; at least HUBS + 2
+CELL = 4096  # classes of a component in one block, about
+CELL_GRAMS = 1 << 21  # n-grams in one block, about
+TILE = 512  # classes in one matrix
+COLUMNS = 4096  # n-grams in one matrix
 
 
 @dataclass(frozen=True)
@@ -267,12 +276,111 @@ def _verify(sim: Similarity):
     return run
 
 
+def _links_between(sim: Similarity, s: list, t: list) -> np.ndarray:
+    """Matrix of 0 and 1: which sets of ``s`` link with which of ``t``."""
+    a, b = np.array([len(x) for x in s]), np.array([len(x) for x in t])
+    links = sim.den * np.minimum.outer(a, b) >= sim.num * np.maximum.outer(a, b)
+    if not links.any():
+        return links
+    x, y = np.concatenate(s), np.concatenate(t)
+    shared = np.intersect1d(x, y)
+
+    def places(grams, sizes):
+        at = np.minimum(np.searchsorted(shared, grams), max(len(shared) - 1, 0))
+        held = shared[at] == grams if len(shared) else np.zeros(len(grams), bool)
+        order = np.argsort(at[held], kind="stable")
+        return np.repeat(np.arange(len(sizes)), sizes)[held][order], at[held][order]
+
+    (xr, xc), (yr, yc) = places(x, a), places(y, b)
+    both = np.zeros((len(s), len(t)), np.int64)
+    for low in range(0, len(shared), COLUMNS):
+        sides = []
+        for r, c, n in ((xr, xc, len(s)), (yr, yc, len(t))):
+            i, j = np.searchsorted(c, [low, low + COLUMNS])
+            m = np.zeros((n, min(COLUMNS, len(shared) - low)), np.float32)
+            m[r[i:j], c[i:j] - low] = 1
+            sides.append(m)
+        both += (sides[0] @ sides[1].T).astype(np.int64)
+    return links & (both >= sim.overlap(a[:, None], b[None, :]))
+
+
+def _cell_links(sim: Similarity, cls: np.ndarray, block: np.ndarray, sets: list) -> np.ndarray:
+    """How many links each class of a cell has: with the other block, or within the only one."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.lexsort((sizes, block))
+    cut = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+    tiles = [(k, rows) for k, side in enumerate(np.split(order, cut[1:]))
+             for rows in np.split(side, range(TILE, len(side), TILE))]
+    counts = np.zeros(len(cls), np.int64)
+    for i, (k, x) in enumerate(tiles):
+        for side, y in tiles[i:]:
+            low, high = sorted([(sizes[x[0]], sizes[x[-1]]), (sizes[y[0]], sizes[y[-1]])])
+            if (len(cut) > 1 and k == side) or sim.den * low[1] < sim.num * high[0]:
+                continue
+            links = _links_between(sim, [sets[r] for r in x], [sets[r] for r in y])
+            counts[x] += links.sum(axis=1)
+            if x is y:
+                counts[x] -= 1  # itself
+            else:
+                counts[y] += links.sum(axis=0)
+    return counts
+
+
+def _count_cells(sim: Similarity):
+    """Rows (cls, links) of the cells; rows (root, low, high, block, cls, set) come sorted by cell."""
+
+    def counted(cell: list) -> pa.RecordBatch:
+        low, high, block, cls = cell[0][1], cell[0][2], *(np.array([r[i] for r in cell], np.int64) for i in (3, 4))
+        if low != high and len(np.unique(block)) == 1:  # no class has the other block's hash
+            links = np.zeros(len(cls), np.int64)
+        else:
+            links = _cell_links(sim, cls, block, [np.frombuffer(r[5], np.uint64) for r in cell])
+        return _batch(cls=cls, links=links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if cell and row[:3] != cell[0][:3]:
+                    yield counted(cell)
+                    cell = []
+                cell.append(row)
+        if cell:
+            yield counted(cell)
+
+    return run
+
+
+def _all_links(links: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """(cls, n_links) for the classes of the verified ``links``, with all links that lie within their components."""
+    members = classes.join(roots, classes["cls"] == roots["node"]).select("cls", "n", "root")
+    ends = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(
+        F.count(F.lit(1)).alias("links"))
+    members = members.join(ends, "cls")
+    sizes = members.groupBy("root").agg(
+        F.count(F.lit(1)).alias("f"), F.sum("n").alias("grams"), F.sum("links").alias("ends")).select(
+        "root", (F.col("ends") < F.col("f") * (F.col("f") - 1)).alias("open"),
+        F.least("f", F.greatest(F.ceil(F.col("f") / CELL), F.ceil(F.col("grams") / CELL_GRAMS))).alias("blocks"))
+    members = members.join(sizes, "root")
+    block = F.pmod(F.xxhash64("cls", F.lit(4)), F.col("blocks"))
+    cells = (
+        members.filter("open").withColumn("block", block).join(sets, "cls")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                "block", "cls", "set")
+        .repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+        .mapInArrow(_count_cells(sim), "cls long, links long")
+    )
+    return members.filter("not open").select("cls", "links").union(cells).groupBy("cls").agg(
+        F.sum("links").alias("n_links"))
+
+
 def jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """(id, n_shingles, class_id, component_id, n_links), one row per row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included; ``n_links`` the number
-    of other classes that the row's class was verified to link with on the way there. A null or blank
+    of other classes that the row's class links with. A null or blank
     text has no shingles, no class and no links, and its component is its own id. Null ids take part and
     never become a component's id (null if all are null). Repeated rows give repeated rows. Extra columns
     are not read. An empty table gives no rows.
@@ -319,6 +427,9 @@ def jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), id_col: str =
     have: list[DataFrame] = []  # stored sets by class
     tried: list[DataFrame] = []  # stored pairs
 
+    def held_sets() -> DataFrame:
+        return functools.reduce(DataFrame.union, have).dropDuplicates(["cls"]) if len(have) > 1 else have[0]
+
     def verified(pairs: DataFrame) -> DataFrame:
         for before in tried:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
@@ -335,7 +446,7 @@ def jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), id_col: str =
                 "jaccard-sets"))
         if not have:
             return pairs
-        sets = functools.reduce(DataFrame.union, have).dropDuplicates(["cls"]) if len(have) > 1 else have[0]
+        sets = held_sets()
         return stored(
             pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("s")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("t")), "b")
@@ -372,12 +483,16 @@ def jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), id_col: str =
     known = (
         classes.join(roots, classes["cls"] == roots["node"], "left").drop("node")
         .withColumn("root", F.coalesce("root", "cls"))
-        .join(linked(), F.col("cls") == F.col("node"), "left")
-        .select("cls", "least", "root", F.coalesce("degree", F.lit(0)).alias("n_links"))
+        .select("cls", "least", "root")
     )
     whole = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = stored(known.join(whole, "root").select("cls", "component_id", "n_links"), "jaccard-known")
-    return measured.join(known, "cls", "left").select(
+    known = stored(known.join(whole, "root").select("cls", "component_id"), "jaccard-known")
+    out = measured.join(known, "cls", "left")
+    if have:
+        out = out.join(_all_links(links, roots, classes, held_sets(), sim), "cls", "left")
+    else:
+        out = out.withColumn("n_links", F.lit(0).cast("long"))
+    return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
         F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),

@@ -84,6 +84,56 @@ def test_jaccard_joins_chains_of_near_copies(spark, monkeypatch, edits, pieces):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+@pytest.mark.parametrize("tile,columns", [(ngram_join.TILE, ngram_join.COLUMNS), (5, 11)])
+def test_cells_count_links_by_blocks_and_tiles(monkeypatch, tile, columns):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    rng = np.random.default_rng(2)
+    sim, base = ngram_join.Similarity(), np.arange(60)
+    sets = [np.unique(np.r_[rng.choice(base, 50 + i % 10, replace=False), rng.integers(100, 120, i % 8)]).astype(np.uint64)
+            for i in range(40)]
+    blocks = [i % 3 for i in range(40)]
+    rows = sorted((root, *sorted((blocks[i], k)), blocks[i], 100 * root + i, sets[i].tobytes())
+                  for root in (1, 2) for i in range(40) for k in range(3))
+    rows.append((3, 0, 1, 0, 999, sets[0].tobytes()))  # the other block is empty
+    columns = [pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(zip(*rows))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["root", "low", "high", "block", "cls", "set"])
+    got = {}
+    for out in ngram_join._count_cells(sim)(iter([whole.slice(0, 7), whole.slice(7, 0), whole.slice(7)])):
+        for cls, n in zip(*(c.to_pylist() for c in out.columns)):
+            got[cls] = got.get(cls, 0) + n
+    held = [set(s.tolist()) for s in sets]
+    want = [sum(10 * len(s & t) >= 8 * len(s | t) for t in held) - 1 for s in held]
+    assert max(want) > 3
+    assert got == {999: 0, **{100 * root + i: want[i] for root in (1, 2) for i in range(40)}}
+
+
+def test_jaccard_counts_all_links(spark, monkeypatch):
+    """Of groups of near copies in blocks, of pairs, and of a text without links; copies of a text are no links."""
+    monkeypatch.setattr(ngram_join, "CELL", 20)
+    rng = np.random.default_rng(5)
+    rows = [(-1, None), (-2, "alone " * 3)]
+    for group, members in ((0, 60), (1, 2), (2, 3), (3, 40)):
+        base = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        for i in range(members):
+            text = list(base) + [f"tail{k}" for k in range(i % 5 * 9)]
+            for k in rng.integers(0, 300, 1 + i % 6):
+                text[k] = f"v{rng.integers(0, 9999)}"
+            rows += [(100 * group + i, " ".join(text))] * (1 + i % 2)
+    sets = {}
+    for i, text in rows:
+        w = (text or "").split()
+        sets[i] = frozenset(zip(w, w[1:], w[2:]))
+    distinct = set(sets.values())
+    want = {i: sum(10 * len(s & t) >= 9 * len(s | t) for t in distinct - {s}) if s else 0 for i, s in sets.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_join(df, ngram_join.Similarity(3, 9, 10)).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted((i, want[i]) for i, _ in rows)
+    assert max(want.values()) > ngram_join.HUBS + 2
+
+
 def test_stars_pair_heads_and_neighbours_across_batches():
     import pyarrow as pa
 
