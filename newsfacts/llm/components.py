@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from newsfacts.llm.store import stored
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+ROWS = 100_000  # links in a partition, at least
+
+
+def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Hang the neighbours of each node on the smallest of them.
 
     ``edges`` has each link once as (a, b) with a < b. A large star moves the neighbours above the node,
-    a small star those below. Minima are partial aggregates and the join leaves busy nodes to AQE.
+    a small star those below. Minima are partial aggregates and the join leaves busy nodes to AQE. Each step
+    leaves at most ``parts`` partitions, so that few links are not dealt over many files.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))) if large else (
         edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low"))
+    least = both.groupBy("a").agg(F.min("b").alias("low")).coalesce(parts)
     least = least.withColumn("low", F.least("a", "low"))
     moved = both.join(least, "a")
     if large:
@@ -24,7 +28,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     else:
         moved = moved.select(F.col("low").alias("a"), "b").union(
             least.select(F.col("low").alias("a"), F.col("a").alias("b")))
-    return moved.filter(F.col("a") != F.col("b")).distinct()
+    return moved.filter(F.col("a") != F.col("b")).coalesce(parts).distinct().coalesce(parts)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -44,4 +48,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(
                 edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         seen = (state["n"], state["h"])
-        edges = stored(_stars(_stars(edges, True), False), name)
+        parts = 1 + state["n"] // ROWS
+        edges = stored(_stars(_stars(edges.coalesce(parts), True, parts), False, parts), name)

@@ -495,3 +495,19 @@ def test_mixture_keeps_columns_named_like_its_own(spark, hard):
 def test_splitting_tree_keeps_quotas():
     parts = mixing.split_blocks([400, 70, 0, 130], 6, 5)
     assert parts.sum(axis=1).tolist() == [400, 70, 0, 130] and parts.sum(axis=0).tolist() == [100] * 6
+
+
+def test_components_of_few_links_are_few_files(spark):
+    """Also where Spark does not join small partitions."""
+    from newsfacts.llm.components import components
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9], "a long, b long").repartition(4)
+        out = components(edges)
+        assert sorted(map(tuple, out.collect())) == [(i, i - i % 10) for i in range(40)]
+        assert len(out.inputFiles()) == 1
+    finally:
+        spark.conf.set(key, before)
