@@ -33,7 +33,7 @@ def test_rows_are_dealt_by_the_size_of_their_text(spark):
 
 def test_models_read_terms_of_one_row_group_in_many_tasks(spark, tmp_path):
     texts = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("rain flood "), F.repeat(
-        F.lit("again "), 200_000), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias(
+        F.lit("river "), 200_000), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias(
             "source"))
     texts.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     terms = mining._dealt_pos(NewsTables(spark, str(tmp_path)))
