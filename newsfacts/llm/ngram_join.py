@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsfacts.llm.components import components
-from newsfacts.llm.store import stored
+from newsfacts.llm.store import small_batches, stored
 from newsfacts.llm.text import shingle_sets, texts
 from newsfacts.session import ship
 
@@ -232,7 +232,7 @@ def _sets(sim: Similarity):
                 cls.append(_class(s) if len(s) else None)
                 sets.append(s.tobytes())
                 size += s.nbytes
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield _batch(cls=pa.array(cls, pa.int64()), set=pa.array(sets, pa.binary()))
                     cls, sets, size = [], [], 0
             yield _batch(cls=pa.array(cls, pa.int64()), set=pa.array(sets, pa.binary()))
@@ -392,14 +392,16 @@ def jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), id_col: str =
         F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("key"),
         F.col(text_col).alias("text"),
     )
-    measured = stored(rows.mapInArrow(
-        _measure(sim), f"id long, key long, n long, cls long, {PARTS_TYPE},"
-                       " block int, counts binary"), "jaccard-rows")
+    with small_batches(spark):
+        measured = stored(rows.mapInArrow(
+            _measure(sim), f"id long, key long, n long, cls long, {PARTS_TYPE},"
+                           " block int, counts binary"), "jaccard-rows")
     sketch = spark.sparkContext.broadcast(_sketch(measured.filter("block is not null")))
     measured = measured.filter("block is null").drop("block", "counts")
 
-    grams = stored(
-        rows.select("text").mapInArrow(_prefixes(sim, sketch), "gram long, cls long, n int, pos int"), "jaccard-grams")
+    with small_batches(spark):
+        grams = stored(rows.select("text").mapInArrow(
+            _prefixes(sim, sketch), "gram long, cls long, n int, pos int"), "jaccard-grams")
     shared = grams.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
     prefixes = stored(
         grams.join(shared.select("gram"), "gram", "left_semi").dropDuplicates(["gram", "cls"]), "jaccard-prefixes")
@@ -439,18 +441,20 @@ def jaccard_join(docs: DataFrame, sim: Similarity = Similarity(), id_col: str =
         for sets in have:
             missing = missing.join(sets.select("cls"), "cls", "left_anti")
         keys = stored(classes.join(missing, "cls", "left_semi").select("key").distinct(), "jaccard-keys")
-        if keys.head(1):
-            have.append(stored(
-                rows.join(keys.hint("merge"), "key", "left_semi").select("text")
-                .mapInArrow(_sets(sim), "cls long, set binary").filter("cls is not null").dropDuplicates(["cls"]),
-                "jaccard-sets"))
+        if keys.head(1):  # few keys are sent to the texts, else all texts are sent to the keys
+            with small_batches(spark):
+                have.append(stored(
+                    rows.join(keys, "key", "left_semi").select("text")
+                    .mapInArrow(_sets(sim), "cls long, set binary").filter("cls is not null").dropDuplicates(["cls"]),
+                    "jaccard-sets"))
         if not have:
             return pairs
         sets = held_sets()
-        return stored(
-            pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("s")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("t")), "b")
-            .select("a", "b", "s", "t").mapInArrow(_verify(sim), pair), "jaccard-links")
+        with small_batches(spark):
+            return stored(
+                pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("s")), "a")
+                .join(sets.select(F.col("cls").alias("b"), F.col("set").alias("t")), "b")
+                .select("a", "b", "s", "t").mapInArrow(_verify(sim), pair), "jaccard-links")
 
     def rooted(roots: DataFrame | None) -> DataFrame:
         if roots is None:

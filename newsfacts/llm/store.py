@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from newsfacts.session import new_path
 
@@ -25,6 +27,23 @@ def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 1 << 22) -> Iterator[None]:
+    """Python tasks that start meanwhile get their rows in batches of about ``size`` bytes; a size set by the submitter wins.
+
+    The executor holds a batch in buffers that grow by doubling, the Python worker holds it with what is made of it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def bucketed(df: DataFrame, name: str, column: str, codec: str) -> DataFrame:
     """Write a step in buckets of ``column``, so that grouping by it later moves no rows, and read it back.
 

@@ -497,6 +497,39 @@ def test_splitting_tree_keeps_quotas():
     assert parts.sum(axis=1).tolist() == [400, 70, 0, 130] and parts.sum(axis=0).tolist() == [100] * 6
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Sets and texts of a task are not held at once; the session's own setting stays and wins."""
+    import pyarrow as pa
+
+    from newsfacts.llm.store import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    texts_ = spark.range(0, 6000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 4000) as text")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with small_batches(spark):
+        assert max(r["size"] for r in texts_.mapInArrow(sizes, "size long").collect()) < 5 << 20
+    assert spark.conf.get(key) == before and key not in spark.conf.getAll
+    spark.conf.set(key, "1m")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(key) == "1m"
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+    seen = []
+    stored = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: seen.append((name, spark.conf.get(key))) or stored(df, name))
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, words + " x")], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.jaccard_join(docs).collect()} == {1}
+    small = {name for name, size in seen if size == str(1 << 22)}
+    assert small == {"jaccard-rows", "jaccard-grams", "jaccard-sets", "jaccard-links"}
+
+
 def test_components_of_few_links_are_few_files(spark):
     """Also where Spark does not join small partitions."""
     from newsfacts.llm.components import components
