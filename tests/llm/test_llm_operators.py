@@ -497,6 +497,22 @@ def test_splitting_tree_keeps_quotas():
     assert parts.sum(axis=1).tolist() == [400, 70, 0, 130] and parts.sum(axis=0).tolist() == [100] * 6
 
 
+@pytest.mark.parametrize("piece", [400_000, 7, 1])
+def test_components_of_few_links_need_no_rounds(spark, monkeypatch, piece):
+    """Chains, stars, repeated, turned, empty and null links; the rounds start where a task has too many links."""
+    from newsfacts.llm import components as c
+
+    rounds = []
+    monkeypatch.setattr(c, "PIECE", piece)
+    monkeypatch.setattr(c, "_stars", lambda *a, stars=c._stars: rounds.append(a) or stars(*a))
+    links = [(i + 1, i) for i in range(30)] + [(900 - i, 900) for i in range(1, 20)] + [(-5, 2**62), (7, 7), (None, 3)]
+    edges = spark.createDataFrame(links + links[::3], "a long, b long").repartition(3)
+    want = [(i, 0) for i in range(31)] + [(i, 881) for i in range(881, 901)] + [(-5, -5), (2**62, -5)]
+    assert sorted(map(tuple, c.components(edges).collect())) == sorted(want)
+    assert (not rounds) == (piece == 400_000)
+    assert c.components(edges.limit(0)).count() == 0
+
+
 def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     """Sets and texts of a task are not held at once; the session's own setting stays and wins."""
     import pyarrow as pa
