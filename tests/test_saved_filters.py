@@ -110,3 +110,21 @@ def test_stored_marts(spark):
     request = {"categories": "Conflict", "location_ids": "{3,7,10}", "todate": "1998-06-01"}
     counts = sf.match_counts(api, saved(spark, [("x", request), ("all", {})]))
     assert rows(counts, "name", "n") == [("all", len(single(api, {}))), ("x", len(single(api, request)))]
+
+
+@pytest.mark.parametrize("values", [0, 1000])
+def test_many_filters_are_not_sent_to_all_tasks(spark, monkeypatch, values):
+    """Filters beyond a number meet the facts in a shuffle, and only values of many pairs are dealt to several tasks."""
+    monkeypatch.setattr(sf, "DRIVERS_SENT", 0)
+    monkeypatch.setattr(sf, "VALUES_SENT", values)
+    monkeypatch.setattr(sf, "PAIRS", 500)
+    given, asked = facts(spark), saved(spark, requests()[:16])
+    met = sf.match_filters(given, asked)
+    got, want = rows(met.select("filter_name", *given.columns)), []
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    for name, request in requests()[:16]:
+        want += [(name, *r) for r in single(given, request)]
+    assert got == sorted(want, key=lambda t: tuple((v is None, str(v)) for v in t))
+    counts = {r["name"]: r["n"] for r in sf.match_counts(given, asked).collect()}
+    assert counts == {n: sum(w[0] == n for w in want) for n, _ in requests()[:16]}
