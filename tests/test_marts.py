@@ -1,12 +1,14 @@
 """The stored read model: versions, and refreshes of the months that changed."""
 
 import datetime as dt
+import os
 from types import SimpleNamespace
 
 import pytest
 from helpers import rows
 
 from newsfacts.plans import marts
+from newsfacts.session import shared_dir
 from newsfacts.sources.star import NewsTables
 
 FACTS = [(1, "Person", 5), (2, "Person", 6), (3, "Household", None), (4, "Person", 7), (5, "Person", 8)]
@@ -105,6 +107,31 @@ def test_empty_tables(spark, tmp_path):
     assert state(filled)[0] == state(marts.refresh_marts(tables(spark), f"{tmp_path}/whole"))[0]
 
 
+def test_a_refresh_equals_its_parts_and_leaves_only_marts(spark, tmp_path):
+    """Repeated places, articles and analyses, pairs without a place; what is stored on the way is deleted."""
+    t = tables(spark, places=PLACES + [(1, None), (7, 200), (None, 100), (3, 999)], bridge=BRIDGE + [(20, 1), (99, 3)])
+    t.locations = t.locations.union(t.locations.filter("id = 200").withColumn("location_name", marts.F.lit("Tchad")))
+    t.gkg = t.gkg.union(t.gkg.filter("id = 30"))
+    t.analyses = t.analyses.union(t.analyses.filter("gkg_id = 20").withColumn("category", marts.F.lit("Other"))).union(
+        t.analyses.filter("gkg_id = 10").withColumn("category", marts.F.lit(None).cast("string")))
+    folder = f"{shared_dir(spark)}/newsfacts"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    m = marts.refresh_marts(t, f"{tmp_path}/marts")
+    assert not os.path.isdir(folder) or set(os.listdir(folder)) == before
+    sets = marts.fact_api_locations(t.fact_locations, t.locations)
+    assert rows(m.fact_api_locations) == rows(sets)
+    api = marts.build_fact_api(t.facts, t.analysis_facts, t.analyses, t.gkg, t.fact_locations, sets)
+    assert rows(m.fact_api, *api.columns) == rows(api) and api.count() > 10
+    assert rows(m.map_week) == rows(marts.map_week(
+        t.facts, t.fact_locations, t.locations, t.analysis_facts, t.analyses, t.gkg))
+
+
+def test_few_places_or_many_give_the_same_sets(spark, tmp_path, monkeypatch):
+    whole = state(marts.refresh_marts(tables(spark), f"{tmp_path}/a"))
+    monkeypatch.setattr(marts, "PLACES_SENT", 0)
+    assert state(marts.refresh_marts(tables(spark), f"{tmp_path}/b")) == whole
+
+
 def test_changed_since(spark):
     got = marts.changed_since(tables(spark).analyses, marts.F.lit("2019-12-31").cast("timestamp_ntz"))
     assert rows(got) == [(10,), (20,), (30,), (40,)]
