@@ -91,3 +91,13 @@ def test_rows_are_picked_by_a_product_and_measured_by_differences():
     assert len(neighbours._nearest(a, b[:2], 4, own[:, :2])[0]) == 78  # fewer rows than asked for
     centres = b[40:60] + rng.random((20, 8)) * 1e-5
     assert neighbours._own_cells(b, centres).tolist() == neighbours._distances(b, centres).argmin(axis=1).tolist()
+
+
+def test_cells_are_no_smaller_than_blocks_need(spark, monkeypatch):
+    """Few large cells, whose queries are compared slice by slice, give the neighbours that many small ones give."""
+    data, train, queries = clustered(spark)
+    want = rows(nb.knn_join(queries, train, 5, pivots=20))
+    monkeypatch.setattr(nb, "CELLS", 4)
+    monkeypatch.setattr(nb, "SLICE", 7)
+    assert len(nb.make_cells(queries, train, 5).centres) == 4
+    assert rows(nb.knn_join(queries, train, 5)) == want
