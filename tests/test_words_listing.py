@@ -89,3 +89,11 @@ def test_a_page_of_facts_lists_article_and_excerpt(spark):
 
     assert page(2, 0) == [(1, "One", None, 10, None), (2, "One", None, 20, "verified")]
     assert page(2, 2) == [(4, "Two", "B", 40, None)] and page(2, 4) == []
+
+
+def test_few_collocations_are_sent_to_the_positions(spark):
+    docs = spark.createDataFrame([(i, ["new", "york", f"w{i}", f"v{i}"]) for i in range(60)], "id int, terms array<string>")
+    found = words.ngrams(docs, "id", "terms", threshold=0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and all("BroadcastHashJoin" in line for line in plan.split("\n") if "LeftSemi" in line)
+    assert rows(found) == [(i, ["new_york", f"w{i}", f"v{i}"]) for i in sorted(range(60), key=str)]
