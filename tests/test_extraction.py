@@ -200,3 +200,33 @@ def test_dates_after_publication_keep_their_weekday(spark):
     got = {r["ahead"]: r["got"] for r in days.collect()}
     assert all(v < 0 and (k - v) % 7 == 0 for k, v in got.items())
     assert [got[k] for k in (1, 3, 6, 7, 8, 10, 13, 14, 15, 21)] == [-6, -4, -1, -7, -13, -11, -8, -14, -20, -21]
+
+
+def test_units_and_quantities_are_worked_out_once(spark):
+    """A filter on a column that is worked out by lambdas would work it out again."""
+    lexicon = lx.Lexicon()
+    found = ex.reports(ex.with_lemmas(ex.tokenise(spark.createDataFrame(
+        [(1, "Some 300 people were displaced", 0)], "id int, sentence string, sent_start int")), lexicon), lexicon)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 1
+    assert [(r["unit"], r["specific_reported_figure"]) for r in found.collect()] == [("Person", 300)]
+
+
+def test_only_articles_with_an_unsure_term_need_a_keyword(spark):
+    """A term that counts only in relevant articles is kept by a keyword anywhere in the article."""
+    rows_ = [(1, 0, "Floods affected 300 people", 0), (1, 1, "Some 20 people were displaced", 30),
+             (2, 0, "Floods affected 40 people", 0), (2, 1, "All were refugees", 30), (3, 0, "Nothing", 0)]
+    sentences = spark.createDataFrame(rows_, "gkg_id int, sent_no int, sentence string, sent_start int")
+    lexicon = lx.Lexicon(vocab.SEED_KEYWORDS | {vocab.ARTICLE_KEYWORD: ["refugee"]})
+    found = ex.extract_facts(sentences, spark.createDataFrame([("Mali",)], "name string"), lexicon)
+    assert sorted((r["gkg_id"], r["sent_no"]) for r in found.collect()) == [(1, 1), (2, 0)]
+
+
+@pytest.mark.parametrize("short", [0, 3, 1000])
+def test_offsets_of_places_in_short_and_long_sentences(spark, monkeypatch, short):
+    monkeypatch.setattr(ex, "SHORT", short)
+    text = "In  Mali, near Lake Chad and (Mali) "
+    places = ex.location_match(ex.tokenise(spark.createDataFrame([(1, text)], "id int, sentence string")),
+                               spark.createDataFrame([("Mali",), ("Lake Chad",), ("Chad",)], "name string"), ["id"])
+    found = places.first()
+    assert found["locations"] == ["Mali", "Lake Chad", "Mali"]
+    assert [text[s["start"]:s["end"]] for s in found["loc_spans"]] == found["locations"]
